@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat_format, url_filter
+from tidemark.llm import chat_format, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": url_filter.op5_url_filter,
     "op7_chat_format": chat_format.op7_chat_format,
+    "op9_quality_rules": quality.op9_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
