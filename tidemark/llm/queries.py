@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat_format, quality, url_filter
+from tidemark.llm import bpe_trie, chat_format, packing, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": packing.op2_packing,
     "op5_url_filter": url_filter.op5_url_filter,
     "op7_chat_format": chat_format.op7_chat_format,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_bpe": bpe_trie.op10_bpe,
 }
 
 ORACLES: dict[str, str] = {
