@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_trie, chat_format, packing, quality, suffix_dedup, url_filter
+from tidemark.llm import bpe_trie, chat_format, debruijn_dedup, packing, quality, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": packing.op2_packing,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_debruijn_dedup": debruijn_dedup.op6_debruijn_dedup,
     "op7_chat_format": chat_format.op7_chat_format,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_quality_rules": quality.op9_quality_rules,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op5_url_filter": url_filter.OP5_SQL,
+    "op6_debruijn_dedup": debruijn_dedup.OP6_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
     "op8_suffix_dedup": suffix_dedup.OP8_SQL,
 }
