@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_trie, chat_format, debruijn_dedup, packing, quality, suffix_dedup, url_filter
+from tidemark.llm import bpe_trie, chat_format, debruijn_dedup, minhash, packing, quality, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": minhash.op1_near_duplicates,
     "op2_packing": packing.op2_packing,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_debruijn_dedup": debruijn_dedup.op6_debruijn_dedup,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_near_duplicates": minhash.OP1_SQL,
     "op5_url_filter": url_filter.OP5_SQL,
     "op6_debruijn_dedup": debruijn_dedup.OP6_SQL,
     "op7_chat_format": chat_format.OP7_SQL,
