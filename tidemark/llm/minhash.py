@@ -271,8 +271,8 @@ WITH RECURSIVE d AS (
 ), sh AS (
   SELECT DISTINCT doc_id, md5_number(array_to_string(w[s : s + 3], ' ')) AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS s FROM d WHERE len(w) > 0)
 ), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
-c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
-l AS (SELECT u, v FROM c JOIN n p ON p.doc_id = u JOIN n q ON q.doc_id = v WHERE 100 * both >= 80 * (p.n + q.n - both)),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM c JOIN n p ON p.doc_id = u JOIN n q ON q.doc_id = v WHERE 100 * common >= 80 * (p.n + q.n - common)),
 e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, e.v FROM reach JOIN e ON reach.b = e.u),
 m AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
