@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_trie, chat_format, debruijn_dedup, lm_mixing, minhash, packing, quality, suffix_dedup, url_filter
+from tidemark.llm import audio_fingerprint, bpe_trie, chat_format, debruijn_dedup, lm_mixing, minhash, packing, quality, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": minhash.op1_near_duplicates,
     "op2_packing": packing.op2_packing,
     "op3_lm_score": lm_mixing.op3_lm_score,
+    "op4_audio_fingerprint": audio_fingerprint.op4_audio_fingerprint,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_debruijn_dedup": debruijn_dedup.op6_debruijn_dedup,
     "op7_chat_format": chat_format.op7_chat_format,
