@@ -22,16 +22,18 @@ import hashlib
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import as_bytes, batches_of, table
 
 #: Chunks and words that a worker process remembers.
-KNOWN = 300_000
+KNOWN = 450_000
 
 
 class TrieBpe:
@@ -141,6 +143,7 @@ class TextEncoder:
     """Whole texts to ids and back, for a tokenizer file that drops white space and marks word ends."""
 
     _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    _LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -154,36 +157,56 @@ class TextEncoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token |= {i: t for t, i in self.special.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.words: dict[str, tuple[int, ...]] = {}
-        #: chunk -> (number of ids, each id after a space, each token after a space)
+        #: (number of ids, each id after a space, each token after a space) of words, and of chunks
+        self.words: dict[str, tuple[int, bytes, bytes]] = {}
         self.chunks: dict[bytes, tuple[int, bytes, bytes]] = {}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = iter(range(256, 512))
+        #: The visible stand-ins of bytes in byte-level vocabularies: bytes that show stand for themselves.
+        self.stand_in = {i: i if i in shown else next(hidden) for i in range(256)}
 
     def _pieces(self, text: str) -> list[str]:
         if text.isascii() and text.isprintable():
             return self._ASCII.findall(text.lower())
+        if max(text) < "\u0250" and text.isprintable() and unicodedata.is_normalized("NFC", text):
+            return [p.encode().decode("latin-1").translate(self.stand_in) for p in self._LATIN.findall(text.lower())]
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
+    def _made(self, ids: list[int]) -> tuple[int, bytes, bytes]:
+        return len(ids), (" " + " ".join(map(str, ids))).encode(), (" " + " ".join([self.token[i] for i in ids])).encode()
+
     def _learn(self, chunks: set[bytes]) -> None:
         split: dict[bytes, list] = {}
         fresh: set[str] = set()
+        known = self.words
         for c in chunks:
             text = c.decode()
-            pieces: list = []
-            for part in self.split.split(text) if "<|" in text else (text,):
-                if part in self.special:
-                    pieces.append(self.special[part])
-                elif part:
-                    found = self._pieces(part)
-                    pieces += found
-                    fresh.update(p for p in found if p not in self.words)
+            if "<|" in text:
+                pieces: list = []
+                for part in self.split.split(text):
+                    if part in self.special:
+                        pieces.append(self.special[part])
+                    elif part:
+                        pieces += self._pieces(part)
+                fresh.update(p for p in pieces if isinstance(p, str) and p not in known)
+            else:
+                pieces = self._pieces(text)
+                for p in pieces:
+                    if p not in known:
+                        fresh.add(p)
             split[c] = pieces
-        if len(self.words) + len(fresh) > KNOWN:
-            self.words.clear()
+        if len(known) + len(fresh) > KNOWN:
+            known.clear()
             fresh = {p for pieces in split.values() for p in pieces if isinstance(p, str)}
-        self.words.update((w, tuple(ids)) for w, ids in self.bpe.encode_words(fresh))
+        made = self._made
+        for w, ids in self.bpe.encode_words(fresh):
+            known[w] = made(ids)
         for c, pieces in split.items():
-            ids = [i for p in pieces for i in ((p,) if isinstance(p, int) else self.words[p])]
-            self.chunks[c] = len(ids), "".join(f" {i}" for i in ids).encode(), "".join(f" {self.token[i]}" for i in ids).encode()
+            parts = [made([p]) if isinstance(p, int) else known[p] for p in pieces]
+            if len(parts) == 1:
+                self.chunks[c] = parts[0]
+            else:
+                self.chunks[c] = sum([p[0] for p in parts]), b"".join([p[1] for p in parts]), b"".join([p[2] for p in parts])
 
     def _cut(self, texts: list[bytes]) -> list[list[bytes]]:
         cut = [t.split() for t in texts]
