@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import NULL_ID, as_bytes, batches_of, partitions
 
 #: Text of a worker's batch whose anchors are packed together.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 16 << 20
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -94,7 +94,7 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def repeated_anchors(docs: DataFrame, find: Callable[[list[bytes]], Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]) -> DataFrame:
-    """Per document (k, v) the runs of windows whose anchor occurs again in the corpus: ``runs``, binary, of RUN.
+    """Per document (k, v) the runs of windows whose anchor occurs again in the corpus: ``runs``, an array of binary, each of RUN.
 
     find: texts -> (index of the text, hash, first window, place of the anchor, number of windows) of each run.
     """
@@ -151,10 +151,15 @@ def repeated_anchors(docs: DataFrame, find: Callable[[list[bytes]], Iterator[tup
 
     sent = docs.mapInArrow(send, "bucket int, packed binary")
     met = sent.repartition(partitions(spark), "bucket").mapInArrow(meet, "k long, v int, runs binary")
-    return met.groupBy("k", "v").agg(F.array_join(F.collect_list(F.hex("runs")), "").alias("runs")).select("k", "v", F.unhex("runs").alias("runs"))
+    return met.groupBy("k", "v").agg(F.collect_list("runs").alias("runs"))
 
 
-RUN = np.dtype([("h", "<u8"), ("first", "<i4"), ("place", "<i4"), ("n", "<i4")])
+#: A run of windows: its first, how much further its anchor is, and how many windows it has.
+RUN = np.dtype([("first", "<i4"), ("ahead", "<u2"), ("n", "<u2")])
+
+
+def runs_of(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(parts), RUN)
 
 
 def _runs(c: dict[str, np.ndarray], keep: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -164,8 +169,7 @@ def _runs(c: dict[str, np.ndarray], keep: np.ndarray) -> Iterator[pa.RecordBatch
     at = at[np.lexsort((c["first"][at], c["v"][at], c["k"][at]))]
     k, v = c["k"][at], c["v"][at]
     runs = np.empty(len(at), RUN)
-    for name in RUN.names:
-        runs[name] = c[name][at]
+    runs["first"], runs["ahead"], runs["n"] = c["first"][at], c["place"][at] - c["first"][at], c["n"][at]
     starts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])]))
     raw, size = runs.tobytes(), RUN.itemsize
     ends = [*starts[1:], len(at)]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.anchors import RUN, keyed, repeated_anchors, sliding_anchors
+from tidemark.llm.anchors import keyed, repeated_anchors, runs_of, sliding_anchors
 from tidemark.llm.common import NULL_ID, Scratch, WordHashes, as_bytes, batches_of, shingle_hashes, table
 
 WINDOW, GRAM = 13, 5
@@ -69,7 +69,7 @@ def edge_places(with_runs: DataFrame, window: int) -> DataFrame:
         for b in batches_of(batches, 8 << 20):
             for k, v, text, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
                 h = _WORDS.array(text.split())
-                runs = np.frombuffer(raw, RUN)
+                runs = runs_of(raw)
                 n = runs["n"].astype(np.int64)
                 places = np.unique(np.repeat(runs["first"] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()))
                 side = np.concatenate([[np.uint64(0)], h, [np.uint64(0)]])

@@ -26,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.anchors import RUN, Pack, by_bucket, keyed, repeated_anchors, sliding_anchors
+from tidemark.llm.anchors import Pack, by_bucket, keyed, repeated_anchors, runs_of, sliding_anchors
 from tidemark.llm.common import NULL_ID, Scratch, as_bytes, batches_of, mix, partitions, table
 
 LENGTH, GRAM = 100, 32
@@ -206,7 +207,7 @@ def _span_rows(spans: np.ndarray) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_spans(docs: DataFrame, runs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, runs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Rows (k, v, spans): ``spans`` has little-endian 32-bit pairs (start, end) of repeated bytes. A document may have several rows."""
     spark = docs.sparkSession
     buckets = 4 * partitions(spark)
@@ -238,9 +239,11 @@ def repeated_spans(docs: DataFrame, runs: DataFrame, length: int = LENGTH) -> Da
         parts, held = [], 0
         for b in batches_of(batches, 4 << 20):
             for k, v, text, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
-                r = np.frombuffer(raw, RUN)
-                first, size = r["first"], r["n"] - 1 + length
-                parts.append(({"h": r["h"], "k": np.full(len(r), k), "v": np.full(len(r), v), "first": first, "n": r["n"], "size": size}, [text[a : a + s] for a, s in zip(first.tolist(), size.tolist(), strict=True)]))
+                r = runs_of(raw)
+                first, size = r["first"], r["n"].astype(np.int32) - 1 + length
+                place = (first + r["ahead"]).tolist()
+                h = np.fromiter((xxhash.xxh3_64_intdigest(text[p : p + gram]) for p in place), np.uint64, len(r))
+                parts.append(({"h": h, "k": np.full(len(r), k), "v": np.full(len(r), v), "first": first, "n": r["n"].astype(np.int32), "size": size}, [text[a : a + s] for a, s in zip(first.tolist(), size.tolist(), strict=True)]))
                 held += int(size.sum())
             if held > 12 << 20:
                 yield _rows(flush(parts))
@@ -275,9 +278,9 @@ def repeated_spans(docs: DataFrame, runs: DataFrame, length: int = LENGTH) -> Da
     return with_runs.mapInArrow(send, "bucket int, packed binary").repartition(partitions(spark), "bucket").mapInArrow(meet, "k long, v int, spans binary")
 
 
-def cut(text: bytes, spans: bytes) -> tuple[bytes, int]:
+def cut(text: bytes, spans: list[bytes]) -> tuple[bytes, int]:
     """(what remains, number of maximal removed runs)."""
-    pairs = np.frombuffer(spans, "<i4").reshape(-1, 2)
+    pairs = np.frombuffer(b"".join(spans), "<i4").reshape(-1, 2)
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))].tolist()
     out, at, runs = [], 0, 0
     for start, end in pairs:
@@ -295,8 +298,8 @@ def plan(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GR
     first = scratch.settle(rows.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min(F.struct("k", "v")).alias("m"), F.count("*").alias("copies")).select("sha", "m.k", "m.v", "copies"), "texts")
     runs = repeated_anchors(rows, text_anchors(length, gram)).join(first.select("k", "v"), ["k", "v"], "left_semi")
     runs = scratch.settle(runs, "runs")
-    spans = scratch.settle(repeated_spans(rows, runs, length), "spans")
-    joined = spans.groupBy("k", "v").agg(F.unhex(F.array_join(F.collect_list(F.hex("spans")), "")).alias("spans"))
+    spans = scratch.settle(repeated_spans(rows, runs, length, gram), "spans")
+    joined = spans.groupBy("k", "v").agg(F.collect_list("spans").alias("spans"))
     return rows, joined, first
 
 
