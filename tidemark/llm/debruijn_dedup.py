@@ -6,8 +6,8 @@ in a document with a smaller id. All is judged on the input.
 
 1. Edges that can't be repeated are settled by anchors (see ``anchors``): the least-hashed
    ``GRAM``-word gram of a window.
-2. Places of the remaining edges are written as rows: the edge's 96-bit hash, document, place, and
-   hashes of the words before and after. Grouping gives each repeated edge's source, the smallest
+2. Places of the remaining edges are written as rows: the edge's 80-bit hash, document, place, and
+   16-bit hashes of the words before and after. Grouping gives each repeated edge's source, the smallest
    document with it, and whether the same word always follows and precedes it.
 3. Edges that stand side by side in their source, the one always followed and the other always
    preceded by the same word, are one nonbranching path: a join links them, and a path is named by
@@ -36,7 +36,7 @@ from tidemark.llm.common import NULL_ID, Scratch, WordHashes, as_bytes, batches_
 
 WINDOW, GRAM = 13, 5
 _STRETCH = 1 << 22
-_WORDS = WordHashes()
+_WORDS = WordHashes(250_000)
 
 
 def word_anchors(window: int, gram: int):
@@ -56,12 +56,12 @@ def word_anchors(window: int, gram: int):
     return find
 
 
-EDGES = "e long, c int, k long, at long, x long"
+EDGES = "e long, c short, k long, at long, x int"
 
 
 def edge_places(with_runs: DataFrame, window: int) -> DataFrame:
     """Rows (e, c, k, at, x): an edge's hash and second hash, document, v and place, and hashes of the words after and before."""
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int16(), pa.int64(), pa.int64(), pa.int32()]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list[np.ndarray]] = []
@@ -73,9 +73,9 @@ def edge_places(with_runs: DataFrame, window: int) -> DataFrame:
                 n = runs["n"].astype(np.int64)
                 places = np.unique(np.repeat(runs["first"] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()))
                 side = np.concatenate([[np.uint64(0)], h, [np.uint64(0)]])
-                x = (side[places + window + 1] >> np.uint64(32) << np.uint64(32)) | (side[places] >> np.uint64(32))
-                c = shingle_hashes(h * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1), window)[places] >> np.uint64(32)
-                out.append([shingle_hashes(h, window)[places].view(np.int64), c.astype(np.uint32).view(np.int32), np.full(len(places), k), places + (v << 40), x.view(np.int64)])
+                x = ((side[places + window + 1] >> np.uint64(48) << np.uint64(16)) | (side[places] >> np.uint64(48))).astype(np.uint32)
+                c = shingle_hashes(h * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1), window)[places] >> np.uint64(48)
+                out.append([shingle_hashes(h, window)[places].view(np.int64), c.astype(np.uint16).view(np.int16), np.full(len(places), k), places + (v << 40), x.view(np.int32)])
                 held += len(places)
             if held > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), t) for a, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["e", "c", "k", "at", "x"])
@@ -88,8 +88,8 @@ def edge_places(with_runs: DataFrame, window: int) -> DataFrame:
 
 def paths(edges: DataFrame) -> DataFrame:
     """Repeated edges (e, c) with their source coordinate (sk, sat) and the place where their nonbranching path starts (path)."""
-    high = lambda c: F.shiftright(c, 32)
-    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    high = lambda c: F.shiftright(c, 16)
+    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFF))
     return (
         edges.groupBy("e", "c")
         .agg(F.min("k").alias("sk"), F.min_by("at", "k").alias("sat"), F.max("k").alias("last"), F.bit_and("x").alias("xa"), F.bit_or("x").alias("xo"))
