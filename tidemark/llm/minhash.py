@@ -13,7 +13,7 @@ of a group is kept.
    verified on their whole sets.
 3. Components of these links tell which buckets still hold several. There the rows outside the
    largest component are compared with all others of other components, in blocks, by the same
-   test, and survivors are verified. So a link is lost only if it goes between documents that the
+   test and then by sets of short hashes, and survivors are verified. So a link is lost only if it goes between documents that the
    other links join anyway.
 
 Null texts and texts without words have empty sets and are linked with nothing. Rows of one id are
@@ -36,8 +36,8 @@ from tidemark.llm.common import NULL_ID, Scratch, WordHashes, as_bytes, batches_
 from tidemark.llm.components import components
 
 SHINGLE, PERCENT, ROWS, MISS, STEP = 4, 80, 5, 1e-6, 32
-#: Rows of a bucket in one block.
-BLOCK = 1024
+#: Rows of a bucket in one block. Low bits of a bucket's key, which number its band.
+BLOCK, BAND_MASK = 1024, 255
 _WORDS = WordHashes()
 
 
@@ -123,7 +123,7 @@ def signatures(rows: DataFrame, k: int, hashes: int) -> DataFrame:
 
 
 def band_keys(sets: DataFrame, rows: int) -> DataFrame:
-    """(key, id, n) per set and band."""
+    """(key, id, n) per set and band. A key's low bits are the band's number."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches, 4 << 20):
@@ -132,6 +132,7 @@ def band_keys(sets: DataFrame, rows: int) -> DataFrame:
             key = np.tile(np.arange(1, count + 1, dtype=np.uint64), (len(sig), 1))
             for i in range(rows):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, i : count * rows : rows])
+            key = key & ~np.uint64(BAND_MASK) | np.arange(count, dtype=np.uint64)
             ids, n = b.column(0).to_numpy(), b.column(1).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids, count)), pa.array(np.repeat(n, count))], names=["key", "id", "n"])
 
@@ -177,26 +178,44 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFra
     return joined.mapInArrow(apply, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
-def _outside(members: DataFrame, sets: DataFrame, test: Sequential, percent: int) -> DataFrame:
-    """Surviving pairs between a bucket's rows outside its largest component and its rows of other components.
+def short_sets(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, short): the sets of ``ids``, their hashes cut to 32 bits."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches_of(batches, 8 << 20):
+            short = [np.unique((shingle_set(t, k) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in as_bytes(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(short, pa.binary())], names=["id", "short"])
+
+    return rows.select(F.col("k").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(apply, "id long, short binary")
+
+
+def _outside(members: DataFrame, sets: DataFrame, shorts: DataFrame, test: Sequential, percent: int, rows: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's rows outside its largest component with its rows of other components, for exact verification.
 
     members: (key, id, n, comp, lone, blocks); lone marks rows outside. Those are dealt over the
-    bucket's blocks, and every row meets every block once. A task holds one block and streams the rest.
+    bucket's blocks, and every row meets every block once. A task holds one block and streams the
+    rest. A pair is tested in the first bucket it shares alone, by its signatures and then by its
+    sets of short hashes, which may err by a few that fall together: what is one in a hundred
+    below the threshold still passes.
     """
     n = partitions(members.sparkSession)
     block = F.when(F.col("lone"), F.array(F.pmod(F.xxhash64("id"), F.col("blocks")))).otherwise(F.array())
     dealt = members.withColumn("mine", block).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("held", F.array_contains("mine", F.col("block"))).join(sets.select("id", "sig"), "id")
-    ordered = dealt.select("key", "block", "held", "id", "n", "comp", "lone", "sig").repartition(n, "key", "block").sortWithinPartitions("key", "block", F.desc("held"))
+    dealt = dealt.withColumn("held", F.array_contains("mine", F.col("block"))).join(sets.select("id", "sig"), "id").join(shorts, "id")
+    ordered = dealt.select("key", "block", "held", "id", "n", "comp", "lone", "sig", "short").repartition(n, "key", "block").sortWithinPartitions("key", "block", F.desc("held"))
+
+    def close(a: np.ndarray, b: np.ndarray) -> bool:
+        both = len(np.intersect1d(a, b, assume_unique=True)) + 1
+        return 100 * both >= (percent - 1) * (len(a) + len(b) - both)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held, stacked = None, [], None
         for b in batches_of(batches, 16 << 20):
             out: list[tuple[int, int]] = []
-            for key, blk, is_held, i, size, comp, lone, sig in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for key, blk, is_held, i, size, comp, lone, sig, short in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (key, blk) != at:
                     at, held, stacked = (key, blk), [], None
-                sig = np.frombuffer(sig, np.uint32)
+                sig, short = np.frombuffer(sig, np.uint32), np.frombuffer(short, np.uint32)
                 if held:
                     if stacked is None or len(stacked[0]) != len(held):
                         stacked = np.array([h[3] for h in held]), np.array([h[0] for h in held]), np.array([h[1] for h in held]), np.array([h[2] for h in held])
@@ -207,10 +226,14 @@ def _outside(members: DataFrame, sets: DataFrame, test: Sequential, percent: int
                         ok &= ids < i
                     which = np.flatnonzero(ok)
                     if len(which):
-                        left = which[test.alive(sigs[which], np.broadcast_to(sig, (len(which), len(sig))))]
-                        out += [(int(ids[j]), i) for j in left]
+                        same = sigs[which] == sig
+                        count = same.shape[1] // rows
+                        first = same[:, : count * rows].reshape(-1, count, rows).all(2).argmax(1)
+                        which = which[first == (key & BAND_MASK)]
+                        which = which[test.alive(sigs[which], np.broadcast_to(sig, (len(which), len(sig))))]
+                        out += [(int(ids[j]), i) for j in which if close(held[j][4], short)]
                 if is_held:
-                    held.append((i, size, comp, sig))
+                    held.append((i, size, comp, sig, short))
             if out:
                 a, c = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c), pa.int64()), pa.array(np.maximum(a, c), pa.int64())], names=["a", "b"])
@@ -230,7 +253,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", k
     leaders = keys.groupBy("key").agg(F.min("id").alias("lead"), F.min_by("n", "id").alias("lead_n"), F.count("*").alias("c")).where("c > 1").drop("c")
     shared = scratch.settle(keys.join(leaders, "key"), "shared")
     stars = shared.where("id <> lead").where(_sized("n", "lead_n", percent)).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = scratch.settle(verified(scratch.settle(survivors(stars, sets, test), "stars"), texts, k, percent), "links")
+    links = verified(scratch.settle(survivors(stars, sets, test), "stars"), texts, k, percent)
+    links = scratch.settle(links.unionByName(of_one_id(signed)).distinct(), "links")
     joined = components(links, scratch, "first")
 
     # Buckets whose rows are not of one component yet.
@@ -238,8 +262,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", k
     mixed = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = mixed.groupBy("key").agg(F.max_by("comp", "c").alias("largest"), F.sum("c").alias("all"), F.max("c").alias("most"), F.count("*").alias("comps")).where("comps > 1")
     mixed = mixed.select("key", "largest", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("long").alias("blocks"))
-    members = placed.join(mixed, "key").withColumn("lone", F.col("comp") != F.col("largest"))
-    more = scratch.settle(_outside(members, sets, test, percent), "outside")
+    members = scratch.settle(placed.join(mixed, "key").withColumn("lone", F.col("comp") != F.col("largest")), "members")
+    shorts = scratch.settle(short_sets(texts, members.select("id").distinct(), k), "shorts")
+    more = scratch.settle(_outside(members, sets, shorts, test, percent, rows), "outside")
     if not more.isEmpty():
         tried = scratch.settle(more.join(scratch.spark.read.parquet(f"{scratch.root}/stars"), ["a", "b"], "left_anti"), "untried")
         late = verified(tried, texts, k, percent)
@@ -256,6 +281,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", k
     )
 
 
+def of_one_id(signed: DataFrame) -> DataFrame:
+    """Links (u, v) between the sets of rows that share an id, each set named by its smallest id."""
+    rows = signed.where("n > 0").select("k", "set_key").join(signed_sets(signed), "set_key").select("k", "rep")
+    least = rows.groupBy("k").agg(F.min("rep").alias("v"), F.max("rep").alias("z")).where("v < z").drop("z")
+    return rows.join(least, "k").where("rep <> v").select(F.col("rep").alias("u"), "v")
+
+
 def signed_sets(signed: DataFrame) -> DataFrame:
     """(set_key, rep) of sets that aren't empty."""
     return signed.where("n > 0").groupBy("set_key").agg(F.min("k").alias("rep"))
