@@ -136,7 +136,7 @@ def test_language_model(spark, docs):
 def test_language_model_is_a_distribution():
     """Chances of all continuations of a byte add up to one, whatever the model's state."""
     rng = np.random.default_rng(1)
-    model = lm_mixing.Model.blank(rng.integers(0, 3, (lm_mixing.INPUTS, 1 << lm_mixing.SLOT_BITS, 2)).astype(np.float32))
+    model = lm_mixing.Model.blank(rng.integers(0, 3, (lm_mixing.SLOTS, 2)).astype(np.float16))
 
     class Bits(lm_mixing.Bits):
         pass
