@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NULL_ID, table
+from tidemark.llm.common import NULL_ID, Scratch, table
 
 RATE, FRAME, TONE, WIDTH, LOWEST = 8000, 1024, 1024, 16, 110.0
 #: Frames' windows overlap: each begins half a frame after the last.
@@ -150,7 +150,7 @@ def alignments(known: DataFrame, most_errors: int = MOST_ERRORS, least_overlap:
 
 
 def search(prints: DataFrame) -> DataFrame:
-    """One row per recording: vec_id, n_frames, class_id, class_size, query_id, offset, votes, overlap, bit_errors.
+    """One row per recording, from prints that were written: vec_id, n_frames, class_id, class_size, query_id, offset, votes, overlap, bit_errors.
 
     query_id is the best query whose recording it matches, by the share of differing bits; a query
     of the recording's own class matches it without an error. Null where none does.
@@ -174,4 +174,5 @@ def search(prints: DataFrame) -> DataFrame:
 
 
 def op4_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", vectors=True))
+    prints = fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", vectors=True)
+    return search(Scratch(spark, "op4").settle(prints, "prints"))
