@@ -17,6 +17,8 @@ from tidemark.llm.common import NULL_ID, Scratch, as_bytes, batches_of, table
 
 #: A decision is not SQL's: the first stage decodes a model that is trained here.
 ORACLE_SQL = None
+#: Words of a shingle in the near-duplicate stage; op1 alone takes four.
+SHINGLE = 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id."""
-    dropped = minhash.near_duplicates(docs, Scratch(spark, "pipeline-near")).where("NOT kept").select("doc_id").distinct()
+    """One document of each group of near-duplicates, by shingles of five words: the one with the smallest id."""
+    dropped = minhash.near_duplicates(docs, Scratch(spark, "pipeline-near"), k=SHINGLE).where("NOT kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 

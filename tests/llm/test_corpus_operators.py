@@ -175,3 +175,32 @@ def test_pipeline_keeps_its_columns(spark):
     ids = {r.doc_id for r in now.select("doc_id").collect()}
     packed = corpus_pipeline.STAGES[-1][1](spark, now, "/root/testdata/sf0.001")
     assert {r.doc_id for r in packed.select("doc_id").collect()} == ids
+
+
+def test_pipeline_near_duplicates_by_five_words(spark):
+    """Against brute force. Of the last two texts 33 of 41 four-word shingles are shared, but 31 of 41 five-word ones."""
+    import corpus_pipeline
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    words = [f"w{i}" for i in range(40)]
+    rows += [(10_000, " ".join(words)), (10_001, " ".join([*words[:20], "other", *words[21:]]))]
+    sets = []
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append((i, {tuple(w[s : s + 5]) for s in range(len(w) - 4)} or ({tuple(w)} if w else set())))
+    root = {i: i for i, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for at, (i, a) in enumerate(sets):
+        for j, b in sets[:at]:
+            if a and b and 100 * min(len(a), len(b)) >= 80 * max(len(a), len(b)) and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "/root/testdata/sf0.001")
+    assert {r.doc_id for r in got.collect()} == {i for i, _ in sets if find(i) == i}
+    assert find(10_001) == 10_001
