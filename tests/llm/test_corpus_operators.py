@@ -163,6 +163,50 @@ def test_fingerprints_align(spark):
     assert got[3].query_id is None and got[4].class_id is None and got[5].n_frames == 0
 
 
+def brute_alignments(prints, most_errors=30, least_overlap=32):
+    """(q, class_id) -> {offset: (agreeing less differing bits, errors, overlap, votes)} of all offsets that match."""
+    names = {}
+    for i, f in prints:
+        if f:
+            names.setdefault(tuple(f), []).append(i)
+    known = [(min(ids), any(i % 50 == 0 for i in ids), np.array(f, np.int64)) for f, ids in names.items()]
+    out = {}
+    for q, is_query, a in known:
+        for c, _, b in known:
+            for o in range(least_overlap - len(a), len(b) - least_overlap + 1) if is_query and q != c else ():
+                x, y = a[max(-o, 0) :], b[max(o, 0) :]
+                n = min(len(x), len(y))
+                wrong = np.bitwise_count(x[:n] ^ y[:n])
+                if n >= least_overlap and 100 * wrong.sum() <= 32 * n * most_errors:
+                    out.setdefault((q, c), {})[o] = (32 * n - 2 * int(wrong.sum()), int(wrong.sum()), n, int((wrong == 0).sum()))
+    return out
+
+
+def test_fingerprint_matches_are_all_found(spark):
+    """Against brute force over all offsets: bits flipped until hardly an integer is shared, shifts, lengths of all kinds."""
+    rng = np.random.default_rng(4)
+    flipped = lambda f, share: f ^ (rng.random((len(f), 32)) < share) @ (1 << np.arange(32))
+    base = rng.integers(0, 1 << 32, 300)
+    rows = [(0, base[:120]), (50, flipped(base[40:200], 0.03)), (100, base[:120]), (150, rng.integers(0, 1 << 32, 90)), (7, base[:120])]
+    rows += [(i, flipped(base[s : s + n], share)) for i, s, n, share in ((1, 0, 120, 0.24), (2, 60, 100, 0.24), (3, 85, 70, 0.22), (4, 0, 300, 0.25), (5, 30, 32, 0.2), (6, 0, 31, 0.0), (8, 10, 120, 0.4))]
+    rows += [(9, rng.integers(0, 1 << 32, 150)), (11, np.zeros(0, np.int64))]
+    want = brute_alignments([(i, f.tolist()) for i, f in rows])
+    prints = spark.createDataFrame([(i, f.tolist()) for i, f in rows], "id long, frames array<bigint>")
+    met = audio_fingerprint.alignments(audio_fingerprint.classes(prints)).collect()
+    assert len(met) == len(want) == len({(r.q, r.class_id) for r in met}) and len(want) > 8
+    for r in met:
+        offsets = want[r.q, r.class_id]
+        assert offsets[r.offset][1:] == (r.bit_errors, r.overlap, r.votes) and offsets[r.offset] >= (max(offsets.values())[0],)
+
+
+def test_fingerprint_recall_on_a_table(spark):
+    prints = audio_fingerprint.fingerprints(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"), "vec_id", "embedding", vectors=True)
+    prints = Scratch(spark, "t").settle(prints, "prints")
+    want = set(brute_alignments([(r.id, r.frames) for r in prints.collect()]))
+    got = {(r.q, r.class_id) for r in audio_fingerprint.alignments(audio_fingerprint.classes(prints)).collect()}
+    assert want and got == want
+
+
 def test_pipeline_keeps_its_columns(spark):
     import corpus_pipeline
 

@@ -6,12 +6,13 @@ any rectangle, and 16 filters compare neighbouring rectangles. Each filter's val
 (Gray-coded, so that neighbouring levels differ in one), and 16 filters make a packed 32-bit integer
 per frame.
 
-Two recordings that share integers are aligned at the offset that most of the shared ones agree on,
-and compared there: the share of differing bits over their overlap.
+Two recordings are compared at all offsets with enough overlap: their bits' cross-correlation gives
+the differing bits of each. Of the offsets with few enough errors, they are aligned where the agreeing
+bits exceed the differing ones by most.
 
 Recordings with equal fingerprints are one class, named by its smallest id, and are searched once,
 so that a recording that is everywhere costs no more than any other. Every query class meets every
-class that shares an integer with it; each recording gets its best query.
+other class, in blocks, so that no match is missed; the work grows with the product of their numbers.
 
 Vectors are heard as recordings: each number is a tone of ``TONE`` samples whose pitch it sets.
 Nulls and numbers that aren't finite are silence. Recordings under ``WIDTH`` frames, and nulls,
@@ -35,6 +36,8 @@ RATE, FRAME, TONE, WIDTH, LOWEST = 8000, 1024, 1024, 16, 110.0
 HOP = FRAME // 2
 #: Differing bits in a hundred, at most, of recordings that match, and frames they must overlap in.
 MOST_ERRORS, LEAST_OVERLAP = 30, 32
+#: Frames of the recordings in one block, and numbers that a side of a comparison, or its pairs, hold at a time.
+BLOCK_FRAMES, MOST_NUMBERS = 1 << 15, 1 << 23
 #: Levels of a filter's value, in log ratios.
 LEVELS = np.array([-0.25, 0.0, 0.25])
 GRAY = np.array([0, 1, 3, 2], np.uint32)
@@ -132,21 +135,75 @@ def classes(prints: DataFrame) -> DataFrame:
     return prints.where(F.size("frames") > 0).groupBy("frames").agg(F.min("id").alias("class_id"), F.count("*").alias("n"), F.min(F.when(F.col("id") % 50 == 0, F.col("id"))).alias("query_id"))
 
 
+def spectra(frames: list[np.ndarray], n: int) -> np.ndarray:
+    """Spectra (recordings x frequencies x 32) of the recordings' bits as 1 and -1, padded to n frames."""
+    out = np.zeros((len(frames), n, 32), np.float32 if n <= 8192 else np.float64)
+    for i, f in enumerate(frames):
+        out[i, : len(f)] = (f[:, None] >> np.arange(32) & 1) * 2 - 1
+    return np.fft.rfft(out, axis=1)
+
+
+def fft_length(least: int) -> int:
+    """The least 2^a or 3 * 2^a of at least ``least``."""
+    power = 1 << max(least - 1, 1).bit_length()
+    return power // 4 * 3 if power // 4 * 3 >= least else power
+
+
+def compared(queries: list[np.ndarray], others: list[np.ndarray], most_errors: int, least_overlap: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(query, other, offset, votes, overlap, bit_errors) of all pairs that match at some offset. All have least_overlap frames."""
+    size_q, size_c = (np.array([len(f) for f in side]) for side in (queries, others))
+    n = fft_length(int(size_q.max() + size_c.max()) - least_overlap)
+    # Of equally good offsets the smaller shift, then the smaller offset.
+    offsets = np.arange(least_overlap - size_q.max(), size_c.max() - least_overlap + 1)
+    offsets = offsets[np.lexsort((offsets, np.abs(offsets)))]
+    step = max(1, MOST_NUMBERS // (n * 32))
+    for c0 in range(0, len(others), step):
+        c = spectra(others[c0 : c0 + step], n).transpose(1, 2, 0)
+        rows = max(1, MOST_NUMBERS // (n * c.shape[2]))
+        for q0 in range(0, len(queries), min(rows, step)):
+            q = np.conj(spectra(queries[q0 : q0 + min(rows, step)], n)).transpose(1, 0, 2)
+            agreeing = np.fft.irfft(np.matmul(q, c), n, axis=0)[offsets % n]
+            sq, sc = size_q[q0 : q0 + q.shape[1]], size_c[c0 : c0 + c.shape[2]]
+            if len(set(sq)) == len(set(sc)) == 1:
+                sq, sc = sq[:1], sc[:1]
+            at = offsets[:, None, None]
+            overlap = np.minimum(sq[None, :, None] - np.maximum(-at, 0), sc[None, None, :] - np.maximum(at, 0))
+            floor = np.where(overlap >= least_overlap, 32 * overlap - 2 * (32 * overlap * most_errors // 100), 1 << 40).astype(np.float32)
+            ok = agreeing > floor - 0.5
+            for i, j in np.argwhere(ok.any(0)):
+                best = int(np.where(ok[:, i, j], np.rint(agreeing[:, i, j]), -(1 << 40)).argmax())
+                offset, a, b = int(offsets[best]), queries[q0 + i], others[c0 + j]
+                a, b = a[max(-offset, 0) :], b[max(offset, 0) :]
+                shared = min(len(a), len(b))
+                differing = a[:shared] ^ b[:shared]
+                yield q0 + int(i), c0 + int(j), offset, int((differing == 0).sum()), shared, int(np.bitwise_count(differing).sum())
+
+
+def blocks(known: DataFrame, name: str) -> DataFrame:
+    """(name_ids, name_queries, name_sizes, name_frames): recordings of like lengths, about BLOCK_FRAMES frames of them in a row."""
+    sized = known.withColumn("size", F.size("frames")).withColumn("power", F.floor(F.log2("size")).cast("int"))
+    dealt = sized.groupBy("power").agg(F.ceil(F.sum("size") / BLOCK_FRAMES).alias("blocks"))
+    dealt = sized.join(F.broadcast(dealt), "power").withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("blocks")))  # a row for each power of two
+    rows = dealt.groupBy("power", "block").agg(F.collect_list(F.struct("class_id", "query_id", "size", "frames")).alias("r"))
+    return rows.select(F.col("r.class_id").alias(f"{name}_ids"), F.col("r.query_id").alias(f"{name}_queries"), F.col("r.size").alias(f"{name}_sizes"), F.flatten("r.frames").alias(f"{name}_frames"))
+
+
 def alignments(known: DataFrame, most_errors: int = MOST_ERRORS, least_overlap: int = LEAST_OVERLAP) -> DataFrame:
-    """(query_id, class_id, offset, votes, overlap, bit_errors) of the query classes and other classes that match."""
-    places = known.select("class_id", "query_id", F.posexplode("frames").alias("at", "x"))
-    query = places.where("query_id IS NOT NULL").select(F.col("class_id").alias("q"), "query_id", F.col("at").alias("q_at"), "x")
-    other = places.select("class_id", "at", "x")
-    votes = query.join(other, "x").where("q <> class_id").groupBy("q", "query_id", "class_id", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    # Of equally many votes the smaller shift, then the smaller offset.
-    best = votes.groupBy("q", "query_id", "class_id").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("back"))).alias("m"))
-    best = best.select("q", "query_id", "class_id", F.col("m.votes").alias("votes"), (-F.col("m.back")).alias("offset"))
-    frames = lambda c, f: known.select(F.col("class_id").alias(c), F.col("frames").alias(f))
-    met = best.join(frames("q", "fq"), "q").join(frames("class_id", "fc"), "class_id")
-    shift_q, shift_c = F.greatest(-F.col("offset"), F.lit(0)), F.greatest(F.col("offset"), F.lit(0))
-    met = met.withColumn("overlap", F.least(F.size("fq") - shift_q, F.size("fc") - shift_c))
-    differing = F.aggregate(F.zip_with(F.slice("fq", shift_q + 1, F.col("overlap")), F.slice("fc", shift_c + 1, F.col("overlap")), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    return met.where(F.col("overlap") >= least_overlap).withColumn("bit_errors", differing).where(F.col("bit_errors") * 100 <= F.col("overlap") * 32 * most_errors).drop("fq", "fc")
+    """(q, query_id, class_id, offset, votes, overlap, bit_errors) of all query classes and other classes that match; votes are the equal integers."""
+    names = ["q", "query_id", "class_id", "offset", "votes", "overlap", "bit_errors"]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                qi, qq, qs, qf, ci, _, cs, cf = (c[at].values.to_numpy(zero_copy_only=False) for c in batch.columns)
+                sides = (np.split(f, np.cumsum(s)[:-1]) for f, s in ((qf, qs), (cf, cs)))
+                found = [(int(qi[i]), int(qq[i]), int(ci[j]), *rest) for i, j, *rest in compared(*sides, most_errors, least_overlap) if qi[i] != ci[j]]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=names)
+
+    long = known.where(F.size("frames") >= max(least_overlap, 1))
+    pairs = blocks(long.where("query_id IS NOT NULL"), "q").crossJoin(blocks(long, "c"))
+    return pairs.mapInArrow(apply, ", ".join(f"{c} long" for c in names))
 
 
 def search(prints: DataFrame) -> DataFrame:
