@@ -197,6 +197,12 @@ def test_fingerprint_matches_are_all_found(spark):
     for r in met:
         offsets = want[r.q, r.class_id]
         assert offsets[r.offset][1:] == (r.bit_errors, r.overlap, r.votes) and offsets[r.offset] >= (max(offsets.values())[0],)
+    # Every match is in the result, those of several queries and of two queries as well, and every recording once as best.
+    got = audio_fingerprint.search(prints).collect()
+    assert sorted(r.vec_id for r in got if r.best_query) == sorted(i for i, _ in rows)
+    pairs = {(r.query_class_id, r.class_id) for r in got if r.query_id is not None and r.query_class_id != r.class_id}
+    assert pairs == set(want) and {(0, 50), (50, 0)} <= pairs and any(len({q for q, c in pairs if c == i}) > 1 for i in range(1, 9))
+    assert {r.vec_id: r.class_id for r in got if r.best_query and r.class_size == 3} == {0: 0, 7: 0, 100: 0}
 
 
 def test_fingerprint_recall_on_a_table(spark):

@@ -206,30 +206,46 @@ def alignments(known: DataFrame, most_errors: int = MOST_ERRORS, least_overlap:
     return pairs.mapInArrow(apply, ", ".join(f"{c} long" for c in names))
 
 
-def search(prints: DataFrame) -> DataFrame:
-    """One row per recording, from prints that were written: vec_id, n_frames, class_id, class_size, query_id, offset, votes, overlap, bit_errors.
-
-    query_id is the best query whose recording it matches, by the share of differing bits; a query
-    of the recording's own class matches it without an error. Null where none does.
+def search(prints: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """From prints that were written: vec_id, n_frames, class_id, class_size, query_id, offset, votes, overlap, bit_errors, query_class_id, best_query.
+
+    Each recording has a row with its best query (best_query is true), by the share of differing
+    bits; a query of the recording's own class matches it without an error. query_id is null where
+    none matches. All other matches of a class with query classes are further rows of the recording
+    that names the class (best_query is false). A match holds for all recordings of class_id and
+    all queries of query_class_id; query_id is the smallest of these.
     """
     known = classes(prints)
+    met = alignments(known)
+    if scratch:
+        met = scratch.settle(met, "alignments")
     share = F.col("bit_errors") / (F.col("overlap") * 32)
-    rank = Window.partitionBy("class_id").orderBy(share, F.desc("votes"), "query_id")
-    best = alignments(known).withColumn("_r", F.row_number().over(rank)).where("_r = 1").drop("_r", "q", "query_id_class")
-    best = best.select("class_id", F.col("query_id").alias("best_id"), "offset", "votes", "overlap", "bit_errors")
+    rank = Window.partitionBy("class_id").orderBy(share, F.desc("votes"), "query_id", "q")
+    ranked = met.withColumn("_r", F.row_number().over(rank))
+    best = ranked.where("_r = 1").select("class_id", F.col("query_id").alias("best_id"), F.col("q").alias("best_q"), "offset", "votes", "overlap", "bit_errors")
     own = F.col("query_id").isNotNull()
     of_class = known.select("frames", "class_id", "query_id", "n").join(best, "class_id", "left")
     pick = lambda mine, theirs: F.when(own, mine).otherwise(F.col(theirs)).cast("long").alias(theirs)
+    shown = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     size = F.size("frames")
-    return (
+    members = (
         prints.join(of_class, "frames", "left")
         .select(
-            F.when(F.col("id") != NULL_ID, F.col("id")).alias("vec_id"), size.cast("long").alias("n_frames"), F.when(F.col("class_id") != NULL_ID, F.col("class_id")).alias("class_id"), F.col("n").alias("class_size"),
+            shown("id").alias("vec_id"), size.cast("long").alias("n_frames"), shown("class_id").alias("class_id"), F.col("n").alias("class_size"),
             F.coalesce("query_id", "best_id").alias("query_id"), pick(F.lit(0), "offset"), pick(size, "votes"), pick(size, "overlap"), pick(F.lit(0), "bit_errors"),
+            F.when(own, shown("class_id")).otherwise(shown("best_q")).alias("query_class_id"), F.lit(True).alias("best_query"),
         )
     )
+    about = known.select("class_id", size.cast("long").alias("n_frames"), "n", F.col("query_id").alias("own_id"))
+    others = (
+        ranked.join(about, "class_id")
+        .where("_r > 1 OR own_id IS NOT NULL")
+        .select(shown("class_id").alias("vec_id"), "n_frames", shown("class_id").alias("class_id"), F.col("n").alias("class_size"), "query_id", "offset", "votes", "overlap", "bit_errors", shown("q").alias("query_class_id"), F.lit(False).alias("best_query"))
+    )
+    return members.unionByName(others)
 
 
 def op4_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", vectors=True)
-    return search(Scratch(spark, "op4").settle(prints, "prints"))
+    scratch = Scratch(spark, "op4")
+    return search(scratch.settle(prints, "prints"), scratch)
