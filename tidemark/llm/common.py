@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,3 +123,86 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[65:91] += 32
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case."""
+    return _LOWERED[data]
+
+
+def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+    """Bounds the Arrow batches that Python workers get by bytes: rows may hold very long texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if not now or not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(key, str(most))
+
+
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, offsets from 0) of a string or binary column; null is empty."""
+    large = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    if column.null_count:
+        column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    _, raw, data = column.buffers()
+    offsets = np.frombuffer(raw, np.int64 if large else np.int32, len(column) + 1 + column.offset)[column.offset :].astype(np.int64)
+    held = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return held[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(code of each string, the distinct strings); data[offsets[i] : offsets[i + 1]] is a string."""
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    binary = pa.binary() if kind is np.int32 else pa.large_binary()
+    strings = pa.Array.from_buffers(binary, len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, kind)), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = strings.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
+
+
+def gathered(values: pa.Array, codes: np.ndarray, ends: np.ndarray) -> list[memoryview]:
+    """The values of each text's codes, joined; ends[i] is where text i's codes end."""
+    taken = values.take(pa.array(codes))
+    data, offsets = flat(taken)
+    cut = offsets[np.concatenate([[0], ends])].tolist()
+    view = memoryview(data)
+    return [view[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+class Words:
+    """The words of a column of texts: codes of all words in order, the distinct words, and where each text's words end.
+
+    prepare changes the texts' bytes, without changing their number; cut gives places before which words are cut besides.
+    """
+
+    def __init__(self, column: pa.Array, prepare: Callable[[np.ndarray], np.ndarray] | None = None, cut: Callable[[np.ndarray], np.ndarray] | None = None):
+        data, offsets = flat(column)
+        if prepare:
+            data = prepare(data)
+        white = _WHITE[data]
+        n = len(data)
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        if cut:
+            edge[cut(data)] = True
+        before = np.ones(n + 1, bool)
+        before[1:] = white
+        starts = np.flatnonzero(~white & (before[:-1] | edge[:-1]))
+        after = np.ones(n + 1, bool)
+        after[:-1] = white
+        stops = np.flatnonzero(~white & (after[1:] | edge[1:])) + 1
+        self.ends = np.searchsorted(starts, offsets[1:], "left")
+        #: Where each word starts in its column's bytes.
+        self.starts, self.offsets = starts, offsets
+        self.codes, self.distinct = distinct(data[~white], np.concatenate([[0], np.cumsum(stops - starts)]))
+
+    def hashes(self, known: WordHashes) -> np.ndarray:
+        """A 64-bit hash of each word."""
+        own = known.array(self.distinct.to_pylist())
+        return own[self.codes] if len(own) else np.empty(0, np.uint64)
+
+    def by_text(self, values: np.ndarray) -> list[np.ndarray]:
+        """One array per text of values that stand one to a word."""
+        return np.split(values, self.ends[:-1]) if len(self.ends) else []

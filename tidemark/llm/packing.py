@@ -18,28 +18,43 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import batches_of, table
+from tidemark.llm.common import batches_of, bounded_batches, distinct, flat, gathered, table
 
 CAPACITY, LEAST, END_ID = 1024, 64, 0
 #: Chunks that a worker process remembers.
-KNOWN = 600_000
+KNOWN = 500_000
+
+
+#: Bytes that may stand beside a cut: no ASCII white space, and no first byte of a character that may be white space.
+_SAFE_NEXT = np.ones(256, bool)
+_SAFE_NEXT[[*range(0x00, 0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
+#: A letter's piece ends before these; of U+00C0 to U+00FF all but the signs 00D7 and 00F7 are letters.
+_STOP, _LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_STOP[list(b".,;:!?")] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN[[0x97, 0xB7]] = True
 
 
 class ByteEncoder:
     """Ids of a byte-level BPE tokenizer file, as little-endian 32-bit bytes.
 
-    A single space between two characters that aren't white space always starts a new piece of
-    such a tokenizer's pattern, and so does a line end between two such characters. Texts are cut
-    there, and what the tokenizer gives for a chunk is remembered. Chunks with other white space
-    at an edge are joined to their neighbours and encoded together.
+    A space or line end between two characters that aren't white space always starts a new piece
+    of such a tokenizer's pattern, and so does a stop after a letter. Texts are cut before them; of a
+    batch's chunks each distinct one is encoded once, and Arrow's kernels put the texts' ids together.
+
+    Chunks of Latin letters are encoded by ranks. That may merge a pair of tokens which the file's
+    merges don't have; tokens side by side are BPE's if each two are, so each two that occur are
+    tried once with the library, and a chunk with two that fail, like any other chunk, is the library's.
     """
 
     def __init__(self, path: str):
@@ -47,60 +62,88 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes | None] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _text(chunk: str) -> str:
-        return chunk if chunk[:1] == "\n" else " " + chunk
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [i for i in range(256) if i not in shown]
+        byte_of = {chr(i): i for i in shown} | {chr(256 + n): i for n, i in enumerate(hidden)}
+        special = self.tokenizer.get_added_tokens_decoder()
+        self.token = {i: bytes(byte_of[x] for x in t) for t, i in self.tokenizer.get_vocab().items() if i not in special}
+        self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in self.token.items()}, special_tokens={})._core_bpe
+        self.known: dict[bytes, bytes] = {}
+        self.sound: dict[int, bool] = {}
 
     @staticmethod
-    def _edged(body: str) -> bool:
-        return not body or body[0].isspace() or body[-1].isspace()
-
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self.known) + len(chunks) > KNOWN:
-            self.known.clear()
-        plain = []
+    def _cuts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where chunks start and, last, end; how many chunks lie before each text's end)."""
+        n = len(data)
+        at = np.flatnonzero((data == 0x20) | (data == 0x0A))
+        at = at[(at > 0) & (at < n - 1)]
+        before, two, three = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+        safe = ((before > 0x20) & (before != 0x7F)) & ((before < 0x80) | ((two != 0xC2) & ~((three >= 0xE1) & (three <= 0xE3)))) & _SAFE_NEXT[data[at + 1]]
+        edge = np.zeros(n + 1, bool)
+        edge[at[safe]] = True
+        at = np.flatnonzero(_STOP[data])
+        at = at[at > 1]
+        edge[at[_LETTER[data[at - 1]] | ((data[at - 2] == 0xC3) & ~_SIGN[data[at - 1]])]] = True
+        edge[offsets] = True
+        cuts = np.flatnonzero(edge)
+        return cuts, np.searchsorted(cuts, offsets[1:])
+
+    def _by_library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for at in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+
+    def _sound(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether BPE leaves each pair of tokens side by side."""
+        coded = pa.array(pairs).dictionary_encode()
+        met = coded.dictionary.to_pylist()
+        if len(self.sound) > KNOWN:
+            self.sound.clear()
+        new = [p for p in met if p not in self.sound]
+        spelled = [self.token[p >> 20] + self.token[p & 0xFFFFF] for p in new]
+        texts = [x.decode(errors="replace") for x in spelled]
+        for p, x, t, ids in zip(new, spelled, texts, self._by_library(texts), strict=True):
+            self.sound[p] = t.encode() == x and ids == [p >> 20, p & 0xFFFFF]
+        return np.array([self.sound[p] for p in met], bool)[coded.indices.to_numpy()]
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        fast, slow, got = [], [], []
+        encode, known = self.ranks.encode_ordinary, self.known
         for c in chunks:
-            if self._edged(c[1:] if c[:1] == "\n" else c):
-                self.known[c] = None
-            else:
-                plain.append(c)
-        self.known.update(zip(plain, self._encode([self._text(c) for c in plain]), strict=True))
-
-    def _joined(self, first: str, rest: list[str]) -> bytes:
-        """Around odd white space, chunks go together; the other cuts hold."""
-        groups = [first]
-        for c in rest:
-            body = c[1:] if c[:1] == "\n" else c
-            if not body or body[0].isspace() or groups[-1][-1:].isspace():
-                groups[-1] += self._text(c)
+            text = c.decode()
+            if len(c) < 64 and (len(c) == len(text) or max(text) < "\u0100") and b"<" not in c:
+                fast.append(c)
+                got.append(encode(text))
             else:
-                groups.append(self._text(c))
-        return b"".join(self._encode([g for g in groups if g]))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        known, cut = self.known, [t.replace("\n", " \n").split(" ") for t in texts]
-        missing = {c for chunks in cut for c in chunks[1:] if c not in known}
+                slow.append(c)
+        if fast:
+            ends = np.cumsum([len(x) for x in got])
+            ids = np.fromiter(chain.from_iterable(got), np.int64, int(ends[-1]))
+            inside = np.ones(len(ids), bool)  # not the first of its chunk
+            inside[np.concatenate([[0], ends[:-1]])] = False
+            at = np.flatnonzero(inside)
+            unsound = at[~self._sound(ids[at - 1] << 20 | ids[at])] if len(at) else at
+            raw, last = ids.astype("<u4").tobytes(), 0
+            for c, end in zip(fast, ends.tolist(), strict=True):
+                known[c] = raw[4 * last : 4 * end]
+                last = end
+            slow += [fast[i] for i in np.unique(np.searchsorted(ends, unsound, "right")).tolist()]
+        for c, ids in zip(slow, self._by_library([c.decode() for c in slow]), strict=True):
+            known[c] = np.array(ids, "<u4").tobytes()
+
+    def _encoded(self, chunks: list[bytes]) -> list[bytes]:
+        known = self.known
+        missing = [c for c in chunks if c not in known]
+        if len(known) + len(missing) > KNOWN:  # what this batch needs stays
+            known = self.known = {c: known[c] for c in chunks if c in known}
         if missing:
-            if len(known) + len(missing) > KNOWN:
-                missing = {c for chunks in cut for c in chunks[1:]}
             self._learn(missing)
-        out = []
-        for text, (first, *rest) in zip(texts, cut, strict=True):
-            if any(s in text for s in self.special):
-                out.append(self._encode([text])[0])
-                continue
-            parts = [known[c] for c in rest]
-            if None in parts or (first and (first[0].isspace() or first[-1].isspace())):
-                out.append(self._joined(first, rest))
-            else:
-                out.append((self._encode([first])[0] if first else b"") + b"".join(parts))
-        return out
+        return [known[c] for c in chunks]
+
+    def __call__(self, texts: pa.Array) -> list[memoryview]:
+        """The ids of each text of a string column."""
+        data, offsets = flat(texts)
+        cuts, ends = self._cuts(data, offsets)
+        codes, chunks = distinct(data, cuts)
+        return gathered(pa.array(self._encoded(chunks.to_pylist()), pa.binary()), codes, ends)
 
 
 class HarmonicBins:
@@ -180,7 +223,8 @@ class HarmonicBins:
 def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", capacity: int = CAPACITY, least: int = LEAST, end_id: int = END_ID) -> DataFrame:
     """One row per piece: the id, start, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    chosen = docs.select(id_col, "text")
+    chosen = docs.select(id_col, F.col("text").cast("string").alias("text"))
+    bounded_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,8 +247,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
         kinds = [None, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         for b in batches_of(batches, 8 << 20):
             kinds[0] = b.column(0).type
-            for key, ids in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                for s in bins.add(key, ids + end):
+            for key, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
+                for s in bins.add(key, b"".join((ids, end))):
                     place(s)
                 if len(rows) >= 4000:
                     yield flush()
