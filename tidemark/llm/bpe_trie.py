@@ -8,12 +8,13 @@ goes through the distinct words of a batch in sorted order and keeps the states
 path, so that a prefix that words share is solved once. A word's last symbol carries the word-end
 mark and is a leaf of its own.
 
-Texts are cut at ASCII white space, which no word of the tokenizer's pattern crosses; chunks that
-were seen lately are remembered. White space is dropped by the tokenizer, so that decoding joins
+Texts are cut at ASCII white space and before a stop after a letter, which no word of the
+tokenizer's pattern crosses; a batch's distinct chunks are encoded, those seen lately are remembered,
+and Arrow's kernels put the texts together. White space is dropped by the tokenizer, so that decoding joins
 the token strings by spaces, as the library does for a file without a decoder.
 
 Null texts are empty and have no tokens. Repeated rows are encoded each. Special tokens' strings
-in a text are their ids, as in the library.
+in a text are their ids, as in the library. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,15 +26,17 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import as_bytes, batches_of, table
+from tidemark.llm.common import Words, batches_of, bounded_batches, gathered, lowered, table
 
-#: Chunks and words that a worker process remembers.
-KNOWN = 450_000
+#: Chunks that a worker process remembers.
+KNOWN = 300_000
 
 
 class TrieBpe:
@@ -49,7 +52,7 @@ class TrieBpe:
             self.pair.setdefault((x, y), r)
             if z not in self.rank:
                 self.rank[z], self.parts[z] = r, (x, y)
-        self.longest = max(map(len, self.plain))
+        self.plain_lengths, self.final_lengths = self._lengths(self.plain), self._lengths(self.final)
         self._memo: dict[int, bool] = {}
         self._made: dict[int, bool] = {}
 
@@ -106,39 +109,66 @@ class TrieBpe:
             else:
                 return True
 
-    def _last(self, word: str, i: int, states: list[tuple[int, int]], vocab: dict[str, int]) -> tuple[int, int]:
-        """(last token, where it begins) of word[:i]; states has those of the shorter prefixes."""
-        for begin in range(max(0, i - self.longest), i):
-            token = vocab.get(word[begin:i])
-            if token is None:
-                continue
-            if begin:
-                if self._follows(states[begin][0], token):
-                    return token, begin
-            elif self._whole(token):
-                return token, 0
-        raise ValueError(f"no token ends at {i} of {word!r}")
+    @staticmethod
+    def _lengths(vocab: dict[str, int]) -> dict[str, tuple[int, ...]]:
+        """Lengths of the tokens that end in three characters, longest first; two and one always count."""
+        found: dict[str, set[int]] = {}
+        for t in vocab:
+            if len(t) > 2:
+                found.setdefault(t[-3:], set()).add(len(t))
+        return {end: (*sorted(lengths, reverse=True), 2, 1) for end, lengths in found.items()}
 
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) of distinct words, in sorted order."""
-        states: list[tuple[int, int]] = [(-1, 0)]  # by length of the prefix
-        before = ""
+        # Of the current path, by length of the prefix: its last token, and where that begins.
+        last, begins = [-1], [0]
+        memo, follows, whole = self._memo, self._follows, self._whole
+        before, few = "", (2, 1)
         for word in sorted(words):
-            shared, most = 0, min(len(states) - 1, len(word) - 1)
+            size = len(word)
+            shared, most = 0, min(len(last) - 1, size - 1)
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del states[shared + 1 :]
-            for i in range(shared + 1, len(word)):
-                states.append(self._last(word, i, states, self.plain))
-            token, begin = self._last(word, len(word), states, self.final)
+            del last[shared + 1 :], begins[shared + 1 :]
+            vocab, lengths = self.plain, self.plain_lengths
+            for i in range(shared + 1, size + 1):
+                if i == size:
+                    vocab, lengths = self.final, self.final_lengths
+                for n in lengths.get(word[i - 3 : i], few) if i > 2 else few:
+                    begin = i - n
+                    if begin < 0:
+                        continue
+                    token = vocab.get(word[begin:i])
+                    if token is None:
+                        continue
+                    if begin:
+                        key = last[begin] << 20 | token
+                        ok = memo.get(key)
+                        if ok is None:
+                            ok = follows(last[begin], token)
+                        if ok:
+                            break
+                    elif whole(token):
+                        break
+                else:
+                    raise ValueError(f"no token ends at {i} of {word!r}")
+                if i < size:
+                    last.append(token)
+                    begins.append(begin)
             ids = [token]
             while begin:
-                token, begin = states[begin]
-                ids.append(token)
-            yield word, ids[::-1]
+                ids.append(last[begin])
+                begin = begins[begin]
+            ids.reverse()
+            yield word, ids
             before = word
 
 
+_STOP, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[list(b".,;:!?")] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
 class TextEncoder:
     """Whole texts to ids and back, for a tokenizer file that drops white space and marks word ends."""
 
@@ -157,8 +187,9 @@ class TextEncoder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token |= {i: t for t, i in self.special.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        #: (number of ids, each id after a space, each token after a space) of words, and of chunks
-        self.words: dict[str, tuple[int, bytes, bytes]] = {}
+        #: Of each token, its id and its string as they stand in a text, after a space.
+        self.shown = {i: (f" {i}".encode(), f" {t}".encode()) for i, t in self.token.items()}
+        #: (number of ids, ids, decoded text) of chunks; ids and text begin with a space
         self.chunks: dict[bytes, tuple[int, bytes, bytes]] = {}
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = iter(range(256, 512))
@@ -166,19 +197,20 @@ class TextEncoder:
         self.stand_in = {i: i if i in shown else next(hidden) for i in range(256)}
 
     def _pieces(self, text: str) -> list[str]:
+        """The pre-tokenised words of a text without white space of ASCII."""
         if text.isascii() and text.isprintable():
-            return self._ASCII.findall(text.lower())
+            return [text.lower()] if text.isalpha() else self._ASCII.findall(text.lower())
         if max(text) < "\u0250" and text.isprintable() and unicodedata.is_normalized("NFC", text):
             return [p.encode().decode("latin-1").translate(self.stand_in) for p in self._LATIN.findall(text.lower())]
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
     def _made(self, ids: list[int]) -> tuple[int, bytes, bytes]:
-        return len(ids), (" " + " ".join(map(str, ids))).encode(), (" " + " ".join([self.token[i] for i in ids])).encode()
+        shown = [self.shown[i] for i in ids]
+        return len(ids), b"".join([a for a, _ in shown]), b"".join([b for _, b in shown])
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        split: dict[bytes, list] = {}
+    def _learn(self, chunks: list[bytes]) -> None:
+        split: list[tuple[bytes, list]] = []
         fresh: set[str] = set()
-        known = self.words
         for c in chunks:
             text = c.decode()
             if "<|" in text:
@@ -188,45 +220,54 @@ class TextEncoder:
                         pieces.append(self.special[part])
                     elif part:
                         pieces += self._pieces(part)
-                fresh.update(p for p in pieces if isinstance(p, str) and p not in known)
+                fresh.update([p for p in pieces if isinstance(p, str)])
             else:
                 pieces = self._pieces(text)
-                for p in pieces:
-                    if p not in known:
-                        fresh.add(p)
-            split[c] = pieces
-        if len(known) + len(fresh) > KNOWN:
-            known.clear()
-            fresh = {p for pieces in split.values() for p in pieces if isinstance(p, str)}
+                fresh.update(pieces)
+            split.append((c, pieces))
         made = self._made
-        for w, ids in self.bpe.encode_words(fresh):
-            known[w] = made(ids)
-        for c, pieces in split.items():
-            parts = [made([p]) if isinstance(p, int) else known[p] for p in pieces]
-            if len(parts) == 1:
-                self.chunks[c] = parts[0]
+        words = {w: made(ids) for w, ids in self.bpe.encode_words(fresh)}
+        for c, pieces in split:
+            if len(pieces) == 1 and pieces[0] in words:
+                self.chunks[c] = words[pieces[0]]
             else:
+                parts = [made([p]) if isinstance(p, int) else words[p] for p in pieces]
                 self.chunks[c] = sum([p[0] for p in parts]), b"".join([p[1] for p in parts]), b"".join([p[2] for p in parts])
 
-    def _cut(self, texts: list[bytes]) -> list[list[bytes]]:
-        cut = [t.split() for t in texts]
-        missing = {c for chunks in cut for c in chunks if c not in self.chunks}
+    @staticmethod
+    def _prepared(data: np.ndarray) -> np.ndarray:
+        """A-Z in lower case, but before a byte that isn't ASCII (a mark may join the letter) and where special tokens may be."""
+        if b"<|" in data.tobytes():
+            return data
+        after = np.append(data[1:], np.uint8(0xFF))
+        return np.where(after < 0x80, lowered(data), data)
+
+    @staticmethod
+    def _cuts(data: np.ndarray) -> np.ndarray:
+        """Places of stops that follow an ASCII letter: no word of the pattern goes across."""
+        at = np.flatnonzero(_STOP[data])
+        at = at[at > 0]
+        return at[_LETTER[data[at - 1]]]
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, memoryview, memoryview]]:
+        """(number of ids, decimal ids joined by one space, decoded text) of each text of a string column."""
+        words = Words(texts, self._prepared, self._cuts)
+        chunks = words.distinct.to_pylist()
+        known = self.chunks
+        missing = [c for c in chunks if c not in known]
+        if len(known) + len(missing) > KNOWN:  # what this batch needs stays
+            known = self.chunks = {c: known[c] for c in chunks if c in known}
         if missing:
-            if len(self.chunks) + len(missing) > KNOWN:
-                self.chunks.clear()
-                missing = {c for chunks in cut for c in chunks}
             self._learn(missing)
-        return cut
-
-    def encode(self, texts: list[bytes]) -> Iterator[tuple[int, bytes, bytes]]:
-        """(number of ids, decimal ids joined by one space, decoded text) of each text."""
-        known = self.chunks
-        for chunks in self._cut(texts):
-            got = [known[c] for c in chunks]
-            yield sum(g[0] for g in got), b"".join([g[1] for g in got])[1:], b"".join([g[2] for g in got])[1:]
+        got = [known[c] for c in chunks]
+        counts = np.array([g[0] for g in got], np.int64)[words.codes] if got else np.empty(0, np.int64)
+        total = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], words.ends])]
+        ids, decoded = (gathered(pa.array([g[i] for g in got], pa.binary()), words.codes, words.ends) for i in (1, 2))
+        for n, a, b in zip(np.diff(total).tolist(), ids, decoded, strict=True):
+            yield n, a[1:], b[1:]
 
     def ids(self, text: str) -> list[int]:
-        return list(map(int, next(self.encode([text.encode()]))[1].split()))
+        return list(map(int, bytes(next(self.encode(pa.array([text])))[1]).split()))
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
@@ -241,7 +282,7 @@ def _encoder(path: str) -> TextEncoder:
 
 def encode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id") -> DataFrame:
     """One row per text: the id, n_tokens, ids (array of int), decoded."""
-    return _mapped(docs, tokenizer, id_col, "ids array<int>, decoded string", [pa.list_(pa.int32()), pa.string()], lambda ids, text: (list(map(int, ids.split())), text.decode()))
+    return _mapped(docs, tokenizer, id_col, "ids array<int>, decoded string", [pa.list_(pa.int32()), pa.string()], lambda ids, text: (list(map(int, bytes(ids).split())), bytes(text).decode()))
 
 
 def _mapped(docs: DataFrame, tokenizer: str | None, id_col: str, columns: str, kinds: list, made) -> DataFrame:
@@ -251,10 +292,11 @@ def _mapped(docs: DataFrame, tokenizer: str | None, id_col: str, columns: str, k
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for b in batches_of(batches, 8 << 20):
-            rows = [(n, *made(ids, text)) for n, ids, text in encoder.encode(as_bytes(b.column(1)))]
+            rows = [(n, *made(ids, text)) for n, ids, text in encoder.encode(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), *kinds], strict=True))], names=names)
 
-    chosen = docs.select(id_col, "text")
+    bounded_batches(docs.sparkSession)
+    chosen = docs.select(id_col, F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(apply, f"`{id_col}` {chosen.schema[id_col].dataType.simpleString()}, n_tokens long, {columns}")
 
 
