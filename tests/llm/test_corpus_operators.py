@@ -113,7 +113,7 @@ def test_near_duplicates(spark, docs):
 def test_posterior_floor_loses_few():
     floor = minhash.posterior_floor(175, 80, 1e-6)
     assert sum(math.comb(176, m) * 0.8**m * 0.2 ** (176 - m) for m in range(floor)) < 1e-6
-    assert minhash.bands() == 35
+    assert minhash.bands() == 27
 
 
 def test_language_model(spark, docs):

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from tests.oracle import assert_same
 from tidemark.llm import bpe_trie, chat_format, packing, quality, queries, url_filter
-from tidemark.llm.common import WordHashes
+from tidemark.llm.common import words_hashes
 
 SF = "/root/testdata/sf0.001"
 HARD = ["", " ", "\n", "  a", "a  b", "a \nb", "a\n b", "a\n\nb", "a ", "don't we'll", "x<|endoftext|>y", "foo <|startoftext|> bar", "É́ß ﬁ 日本 ½ ²", "Σςσ İ", "\u0085a b　c", "12,345.67 #!%", "🎉🎉 ok", "H\u0331a A\u0300, ÀÉ. THE <|ENDOFTEXT|>", "a×. b÷, c—. é, É; ÿ!"]
@@ -122,7 +122,7 @@ def brute_base(text):
 
 def test_quality_base():
     for t in [*texts(), "a b c d e\n" * 4, "x y\nx y\n\n\n"]:
-        b = quality.base_counts(t.encode(), len(t), WordHashes())
+        b = quality.base_counts(t.encode(), len(t), words_hashes(t.encode().split()))
         assert (b.n_words, b.word_chars, b.n_symbols, b.n_dup_lines, b.n_repeat_words) == brute_base(t)
 
 

@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +40,7 @@ class Scratch:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         self.spark, self.root = spark, f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        bounded_batches(spark)
 
     def settle(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and reads it back; the shuffle files behind it can then go."""
@@ -56,23 +56,55 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
-    def drop(self, name: str) -> None:
+    def drop(self, *names: str) -> None:
+        """Frees tables that no later plan reads."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of a Bloom filter at most; where it is too small, more rows pass than are wanted, and none is lost.
+FILTER_BYTES = 16 << 20
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is one of ``ids`` (of one long column), and some others: a Bloom filter keeps most of these out of a later join's shuffle."""
+    spark, name = rows.sparkSession, ids.columns[0]
+    wanted = ids.select(F.col(name).cast("long").alias("x")).where("x IS NOT NULL")
+    count = wanted.agg(F.approx_count_distinct("x")).first()[0]
+    words = 1 << min(FILTER_BYTES.bit_length() - 4, max(6, (count // 5).bit_length()))
+    bits = wanted.select(F.explode(F.array(*(F.pmod(F.xxhash64("x", F.lit(i)), F.lit(64 * words)) for i in range(3)))).alias("b"))
+    held = bits.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toPandas()
+    table_ = np.zeros(words, np.int64)
+    table_[held.w.to_numpy(np.int64)] = held.v.to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(table_)
+    at = [F.pmod(F.xxhash64(F.col(key).cast("long"), F.lit(i)), F.lit(64 * words)).alias(f"_b{i}") for i in range(3)]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table_ = shared.value
+        for b in batches:
+            ok = np.ones(b.num_rows, bool)
+            for i in (-3, -2, -1):
+                x = b.column(b.num_columns + i).to_numpy()
+                ok &= (table_[x >> 6] >> (x & 63)) & 1 == 1
+            if ok.any():
+                yield b.select(list(range(b.num_columns - 3))).filter(pa.array(ok))
+
+    return rows.select("*", *at).mapInArrow(apply, rows.schema)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each value; null is empty."""
     binary = pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()
     return [b"" if v is None else v for v in column.cast(binary).to_pylist()]
 
 
-def batches_of(rows: Iterator[pa.RecordBatch], most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def batches_of(rows: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds about ``most`` bytes: memory stays bounded where texts are long."""
     for batch in rows:
         if not batch.num_rows:
@@ -82,23 +114,6 @@ def batches_of(rows: Iterator[pa.RecordBatch], most: int = 32 << 20) -> Iterator
             yield batch.slice(at, step)
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash, remembered for at most ``most`` words."""
-
-    def __init__(self, most: int = 400_000, seed: int = 0):
-        super().__init__()
-        self.most, self.seed = most, seed
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
-        return value
-
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer; x is changed in place and returned."""
     x ^= x >> np.uint64(30)
@@ -109,6 +124,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string: a random number for each byte at its place, added up."""
+    data, offsets = flat(strings)
+    size = np.diff(offsets)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], size)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(mix(((place << 8) + data).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)), out=total[1:])
+    return mix((total[offsets[1:]] - total[offsets[:-1]]) * np.uint64(0xD6E8FEB86659FD93) + size.astype(np.uint64))
+
+
+def words_hashes(words: list[bytes]) -> np.ndarray:
+    return string_hashes(pa.array(words, pa.binary()))
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of all runs of k words, from the words' hashes; order within a run counts."""
     n = len(words) - k + 1
@@ -134,7 +163,7 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWERED[data]
 
 
-def bounded_batches(spark: SparkSession, most: int = 16 << 20) -> None:
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Bounds the Arrow batches that Python workers get by bytes: rows may hold very long texts."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, None)
@@ -198,10 +227,9 @@ class Words:
         self.starts, self.offsets = starts, offsets
         self.codes, self.distinct = distinct(data[~white], np.concatenate([[0], np.cumsum(stops - starts)]))
 
-    def hashes(self, known: WordHashes) -> np.ndarray:
+    def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        own = known.array(self.distinct.to_pylist())
-        return own[self.codes] if len(own) else np.empty(0, np.uint64)
+        return string_hashes(self.distinct)[self.codes]
 
     def by_text(self, values: np.ndarray) -> list[np.ndarray]:
         """One array per text of values that stand one to a word."""

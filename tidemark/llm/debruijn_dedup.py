@@ -32,24 +32,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.anchors import keyed, repeated_anchors, runs_of, sliding_anchors
-from tidemark.llm.common import NULL_ID, Scratch, WordHashes, as_bytes, batches_of, shingle_hashes, table
+from tidemark.llm.common import NULL_ID, Scratch, Words, as_bytes, batches_of, shingle_hashes, table
 
 WINDOW, GRAM = 13, 5
-_STRETCH = 1 << 22
-_WORDS = WordHashes(250_000)
+#: Words of the longest stretch of a text that is looked at at once.
+STRETCH = 1 << 22
 
 
-def word_anchors(window: int, gram: int):
+def word_anchors(window: int, gram: int, stretch: int = STRETCH):
     """For ``repeated_anchors``: the runs of windows of ``window`` words by their ``gram``-word anchor."""
 
     def find(texts: list[bytes]) -> Iterator[tuple]:
-        for i, t in enumerate(texts):
-            words = t.split()
-            for offset in range(0, max(1, len(words) - window + 1), _STRETCH):
-                part = words[offset : offset + _STRETCH + window - 1]
+        words = Words(pa.array(texts, pa.binary()))
+        for i, h in enumerate(words.by_text(words.hashes())):
+            for offset in range(0, max(1, len(h) - window + 1), stretch):
+                part = h[offset : offset + stretch + window - 1]
                 if len(part) < window:
                     continue
-                grams = shingle_hashes(_WORDS.array(part), gram)
+                grams = shingle_hashes(part, gram)
                 first, n, place = sliding_anchors(grams, window - gram + 1)
                 yield i, grams[place], (first + offset).astype(np.int32), (place + offset).astype(np.int32), n.astype(np.int16)
 
@@ -66,9 +66,9 @@ def edge_places(with_runs: DataFrame, window: int) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list[np.ndarray]] = []
         held = 0
-        for b in batches_of(batches, 8 << 20):
-            for k, v, text, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
-                h = _WORDS.array(text.split())
+        for b in batches_of(batches):
+            words = Words(b.column(2))
+            for k, v, h, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), words.by_text(words.hashes()), b.column(3).to_pylist(), strict=True):
                 runs = runs_of(raw)
                 n = runs["n"].astype(np.int64)
                 places = np.unique(np.repeat(runs["first"] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()))
@@ -150,7 +150,7 @@ def digests(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFram
     rows, spans, first = plan(docs, scratch, window)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, 8 << 20):
+        for b in batches_of(batches):
             removed, digest = [], []
             for text, own in zip(as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
                 words = text.split()
@@ -160,7 +160,7 @@ def digests(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(digest)], names=["k", "v", "removed", "kept"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, 8 << 20):
+        for b in batches_of(batches):
             words = [t.split() for t in as_bytes(b.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(3), pa.array(map(len, words), pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).hexdigest() for w in words])], names=["k", "v", "sha", "n", "all"]

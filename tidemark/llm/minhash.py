@@ -32,13 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NULL_ID, Scratch, WordHashes, as_bytes, batches_of, mix, partitions, shingle_hashes, table
+from tidemark.llm.common import NULL_ID, Scratch, Words, among, batches_of, lowered, mix, partitions, shingle_hashes, table
 from tidemark.llm.components import components
 
-SHINGLE, PERCENT, ROWS, MISS, STEP = 4, 80, 5, 1e-6, 32
+SHINGLE, PERCENT, ROWS, MISS, STEP = 4, 80, 4, 1e-6, 32
 #: Rows of a bucket in one block. Low bits of a bucket's key, which number its band.
 BLOCK, BAND_MASK = 1024, 255
-_WORDS = WordHashes()
+SIGN = np.uint16
 
 
 def bands(percent: int = PERCENT, rows: int = ROWS, miss: float = MISS) -> int:
@@ -79,18 +79,25 @@ class Sequential:
         return at
 
 
-def shingle_set(text: bytes, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a text."""
-    words = text.lower().split()
-    if not words:
+def shingle_set(h: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text, from its words' hashes."""
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = _WORDS.array(words)
     if len(h) < k:
         return mix(shingle_hashes(h, len(h)) + np.uint64(len(h)))
-    return np.unique(shingle_hashes(h, k))
+    x = np.sort(shingle_hashes(h, k))
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The sets of a column of texts."""
+    words = Words(texts, lowered)
+    return [shingle_set(h, k) for h in words.by_text(words.hashes())]
 
 
 class Signer:
+    """Minima of a set under several hashes, each cut to 16 bits: two may agree by chance once in 65,536, which loses no pair."""
+
     def __init__(self, hashes: int):
         rng = np.random.Generator(np.random.PCG64(20240229))
         self.a = rng.integers(0, 1 << 31, hashes, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
@@ -99,12 +106,12 @@ class Signer:
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
         x = (shingles >> np.uint64(32)).astype(np.uint32)
         out = None
-        for at in range(0, len(x), 2048):
-            y = self.a * x[None, at : at + 2048]
+        for at in range(0, len(x), 512):
+            y = self.a * x[None, at : at + 512]
             y += self.b
             low = y.min(axis=1)
             out = low if out is None else np.minimum(out, low)
-        return out
+        return (out * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(SIGN)
 
 
 def signatures(rows: DataFrame, k: int, hashes: int) -> DataFrame:
@@ -112,10 +119,10 @@ def signatures(rows: DataFrame, k: int, hashes: int) -> DataFrame:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signer(hashes)
-        for b in batches_of(batches, 8 << 20):
-            sets = [shingle_set(t, k) for t in as_bytes(b.column(1))]
+        for b in batches_of(batches):
+            sets = shingle_sets(b.column(1), k)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(map(len, sets), pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([sign(s).tobytes() if len(s) else b"" for s in sets], pa.binary())],
+                [b.column(0), pa.array(map(len, sets), pa.int64()), pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array([sign(s).tobytes() if len(s) else b"" for s in sets], pa.binary())],
                 names=["k", "n", "set_key", "sig"],
             )
 
@@ -123,58 +130,57 @@ def signatures(rows: DataFrame, k: int, hashes: int) -> DataFrame:
 
 
 def band_keys(sets: DataFrame, rows: int) -> DataFrame:
-    """(key, id, n) per set and band. A key's low bits are the band's number."""
+    """(key, id) per set and band. A key's low bits are the band's number."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, 4 << 20):
-            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(b.num_rows, -1)
+        for b in batches_of(batches, 1 << 20):
+            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), SIGN).reshape(b.num_rows, -1).astype(np.uint64)
             count = sig.shape[1] // rows
             key = np.tile(np.arange(1, count + 1, dtype=np.uint64), (len(sig), 1))
             for i in range(rows):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, i : count * rows : rows])
             key = key & ~np.uint64(BAND_MASK) | np.arange(count, dtype=np.uint64)
-            ids, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(ids, count)), pa.array(np.repeat(n, count))], names=["key", "id", "n"])
-
-    return sets.select("id", "n", "sig").mapInArrow(apply, "key long, id long, n long")
-
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), count))], names=["key", "id"])
 
-def _sized(a: str, b: str, percent: int) -> F.Column:
-    """Whether sets of these sizes can be similar enough."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    return sets.select("id", "sig").mapInArrow(apply, "key long, id long")
 
 
-def survivors(pairs: DataFrame, sets: DataFrame, test: Sequential) -> DataFrame:
-    """The pairs (a, b) that sequential verification leaves."""
+def survivors(pairs: DataFrame, sets: DataFrame, test: Sequential, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sizes and sequential verification leave."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches, 16 << 20):
-            sig = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in (2, 3)]
-            at = test.alive(*sig)
+        for batch in batches_of(batches):
+            na, nb = (batch.column(c).to_numpy() for c in (4, 5))
+            fit = np.flatnonzero(np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent)
+            sig = [np.frombuffer(b"".join(batch.column(c).to_pylist()), SIGN).reshape(batch.num_rows, -1)[fit] for c in (2, 3)]
+            at = fit[test.alive(*sig)]
             if len(at):
                 yield batch.select(["a", "b"]).take(pa.array(at))
 
-    side = lambda c, s: sets.select(F.col("id").alias(c), F.col("sig").alias(s))
-    return pairs.join(side("a", "sa"), "a").join(side("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(apply, "a long, b long")
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(apply, "a long, b long")
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
 
 
 def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (u, v): the pairs whose whole sets are similar enough."""
+    """Links (u, v): the pairs whose whole sets are similar enough. Only texts of pairs are shuffled, each once for every pair that it is in."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, None
-        for b in batches_of(batches, 8 << 20):
-            ok = []
-            for ta, tb in zip(as_bytes(b.column(2)), as_bytes(b.column(3)), strict=True):
-                if ta != last:
-                    last, mine = ta, shingle_set(ta, k)
-                other = shingle_set(tb, k)
+        for b in batches_of(batches):
+            ok, own = [], b.column(2).dictionary_encode()  # a leader's text comes once for each of its pairs
+            lead = shingle_sets(own.dictionary, k)
+            for i, other in zip(own.indices.to_pylist(), shingle_sets(b.column(3), k), strict=True):
+                mine = lead[i]
                 both = len(np.intersect1d(mine, other, assume_unique=True))
                 ok.append(100 * both >= percent * (len(mine) + len(other) - both))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    side = lambda c, t: rows.select(F.col("k").alias(c), F.col("text").alias(t))
-    joined = pairs.join(side("a", "ta"), "a").join(side("b", "tb"), "b").select("a", "b", "ta", "tb")
+    own = among(rows, _ids(pairs), "k")
+    side = lambda c, t: own.select(F.col("k").alias(c), F.col("text").alias(t))
+    joined = pairs.join(side("b", "tb"), "b").join(side("a", "ta"), "a").select("a", "b", "ta", "tb")
     return joined.mapInArrow(apply, "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
@@ -182,17 +188,17 @@ def short_sets(rows: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, short): the sets of ``ids``, their hashes cut to 32 bits."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, 8 << 20):
-            short = [np.unique((shingle_set(t, k) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in as_bytes(b.column(1))]
+        for b in batches_of(batches):
+            short = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in shingle_sets(b.column(1), k)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(short, pa.binary())], names=["id", "short"])
 
-    return rows.select(F.col("k").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(apply, "id long, short binary")
+    return among(rows, ids, "k").select(F.col("k").alias("id"), "text").join(ids, "id", "left_semi").mapInArrow(apply, "id long, short binary")
 
 
 def _outside(members: DataFrame, sets: DataFrame, shorts: DataFrame, test: Sequential, percent: int, rows: int) -> DataFrame:
     """Pairs (a, b) of a bucket's rows outside its largest component with its rows of other components, for exact verification.
 
-    members: (key, id, n, comp, lone, blocks); lone marks rows outside. Those are dealt over the
+    members: (key, id, comp, lone, blocks); lone marks rows outside. Those are dealt over the
     bucket's blocks, and every row meets every block once. A task holds one block and streams the
     rest. A pair is tested in the first bucket it shares alone, by its signatures and then by its
     sets of short hashes, which may err by a few that fall together: what is one in a hundred
@@ -201,7 +207,7 @@ def _outside(members: DataFrame, sets: DataFrame, shorts: DataFrame, test: Seque
     n = partitions(members.sparkSession)
     block = F.when(F.col("lone"), F.array(F.pmod(F.xxhash64("id"), F.col("blocks")))).otherwise(F.array())
     dealt = members.withColumn("mine", block).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("held", F.array_contains("mine", F.col("block"))).join(sets.select("id", "sig"), "id").join(shorts, "id")
+    dealt = dealt.withColumn("held", F.array_contains("mine", F.col("block"))).join(sets.select("id", "n", "sig"), "id").join(shorts, "id")
     ordered = dealt.select("key", "block", "held", "id", "n", "comp", "lone", "sig", "short").repartition(n, "key", "block").sortWithinPartitions("key", "block", F.desc("held"))
 
     def close(a: np.ndarray, b: np.ndarray) -> bool:
@@ -210,12 +216,12 @@ def _outside(members: DataFrame, sets: DataFrame, shorts: DataFrame, test: Seque
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, stacked = None, [], None
-        for b in batches_of(batches, 16 << 20):
+        for b in batches_of(batches):
             out: list[tuple[int, int]] = []
             for key, blk, is_held, i, size, comp, lone, sig, short in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (key, blk) != at:
                     at, held, stacked = (key, blk), [], None
-                sig, short = np.frombuffer(sig, np.uint32), np.frombuffer(short, np.uint32)
+                sig, short = np.frombuffer(sig, SIGN), np.frombuffer(short, np.uint32)
                 if held:
                     if stacked is None or len(stacked[0]) != len(held):
                         stacked = np.array([h[3] for h in held]), np.array([h[0] for h in held]), np.array([h[1] for h in held]), np.array([h[2] for h in held])
@@ -248,51 +254,50 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", k
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = scratch.settle(signatures(texts, k, hashes), "signed")
     sets = scratch.settle(signed.where("n > 0").groupBy("set_key").agg(F.min("k").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
+    slim = scratch.settle(signed.select("k", "n", "set_key"), "slim")
+    scratch.drop("signed")
 
     keys = band_keys(sets, rows)
-    leaders = keys.groupBy("key").agg(F.min("id").alias("lead"), F.min_by("n", "id").alias("lead_n"), F.count("*").alias("c")).where("c > 1").drop("c")
+    leaders = keys.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("c")).where("c > 1").drop("c")
     shared = scratch.settle(keys.join(leaders, "key"), "shared")
-    stars = shared.where("id <> lead").where(_sized("n", "lead_n", percent)).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = verified(scratch.settle(survivors(stars, sets, test), "stars"), texts, k, percent)
-    links = scratch.settle(links.unionByName(of_one_id(signed)).distinct(), "links")
+    pairs = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    stars = scratch.settle(survivors(pairs, sets, test, percent), "stars")
+    links = verified(stars, texts, k, percent)
+    links = scratch.settle(links.unionByName(of_one_id(slim, sets)).distinct(), "links")
     joined = components(links, scratch, "first")
 
     # Buckets whose rows are not of one component yet.
-    placed = shared.select("key", "id", "n").join(joined.select(F.col("u").alias("id"), "v"), "id", "left").select("key", "id", "n", F.coalesce("v", "id").alias("comp"))
+    placed = shared.select("key", "id").join(joined.select(F.col("u").alias("id"), "v"), "id", "left").select("key", "id", F.coalesce("v", "id").alias("comp"))
     mixed = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = mixed.groupBy("key").agg(F.max_by("comp", "c").alias("largest"), F.sum("c").alias("all"), F.max("c").alias("most"), F.count("*").alias("comps")).where("comps > 1")
     mixed = mixed.select("key", "largest", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("long").alias("blocks"))
     members = scratch.settle(placed.join(mixed, "key").withColumn("lone", F.col("comp") != F.col("largest")), "members")
+    scratch.drop("shared")
     shorts = scratch.settle(short_sets(texts, members.select("id").distinct(), k), "shorts")
     more = scratch.settle(_outside(members, sets, shorts, test, percent, rows), "outside")
+    scratch.drop("members", "shorts")
     if not more.isEmpty():
-        tried = scratch.settle(more.join(scratch.spark.read.parquet(f"{scratch.root}/stars"), ["a", "b"], "left_anti"), "untried")
+        tried = scratch.settle(more.join(stars, ["a", "b"], "left_anti"), "untried")
         late = verified(tried, texts, k, percent)
         joined = components(links.unionByName(late), scratch, "second")
 
-    group = F.coalesce("v", "rep", "k")
-    return (
-        signed.select("k", "n", "set_key")
-        .join(signed_sets(signed), "set_key", "left")
-        .join(joined.select(F.col("u").alias("rep"), "v"), "rep", "left")
-        .select(
-            F.when(F.col("k") != NULL_ID, F.col("k")).alias(id_col), F.col("n").alias("n_shingles"), F.when(group != NULL_ID, group).alias("component_id"), (F.col("k") == group).alias("kept")
-        )
-    )
+    named = sets.select("set_key", F.col("id").alias("rep")).join(joined.select(F.col("u").alias("rep"), "v"), "rep", "left").select("set_key", F.coalesce("v", "rep").alias("comp"))
+    named = scratch.settle(named, "named")
+    scratch.drop("sets", "stars", "links", "outside", "untried")
+    # Empty sets go around the join: they would all be one key.
+    full = slim.where("n > 0").join(named, "set_key").select("k", "n", "comp")
+    every = full.unionByName(slim.where("n = 0").select("k", "n", F.col("k").alias("comp")))
+    unless_null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    return every.select(unless_null("k").alias(id_col), F.col("n").alias("n_shingles"), unless_null("comp").alias("component_id"), (F.col("k") == F.col("comp")).alias("kept"))
 
 
-def of_one_id(signed: DataFrame) -> DataFrame:
+def of_one_id(slim: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) between the sets of rows that share an id, each set named by its smallest id."""
-    rows = signed.where("n > 0").select("k", "set_key").join(signed_sets(signed), "set_key").select("k", "rep")
+    rows = slim.where("n > 0").select("k", "set_key").join(sets.select("set_key", F.col("id").alias("rep")), "set_key").select("k", "rep")
     least = rows.groupBy("k").agg(F.min("rep").alias("v"), F.max("rep").alias("z")).where("v < z").drop("z")
     return rows.join(least, "k").where("rep <> v").select(F.col("rep").alias("u"), "v")
 
 
-def signed_sets(signed: DataFrame) -> DataFrame:
-    """(set_key, rep) of sets that aren't empty."""
-    return signed.where("n > 0").groupBy("set_key").agg(F.min("k").alias("rep"))
-
-
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHashes, as_bytes, batches_of, shingle_hashes, table
+from tidemark.llm.common import Words, as_bytes, batches_of, bounded_batches, shingle_hashes, table
 
 TRAIN_ROWS, TRAIN_LINES = 4000, 200
 SYMBOLS = b"#*$%&|<>"
@@ -63,7 +63,8 @@ def repeat_words(hashes: np.ndarray, k: int = 5) -> int:
     return int((np.cumsum(edge[:-1]) > 0).sum())
 
 
-def base_counts(text: bytes, n_chars: int, hashes: WordHashes) -> Base:
+def base_counts(text: bytes, n_chars: int, hashes: np.ndarray) -> Base:
+    """hashes: of the text's words."""
     words = text.split()
     spaces = len(text) - sum(map(len, words))
     seen: set[bytes] = set()
@@ -74,7 +75,7 @@ def base_counts(text: bytes, n_chars: int, hashes: WordHashes) -> Base:
                 dup += bool(line.split())
             else:
                 seen.add(line)
-    return Base(len(words), n_chars - spaces, len(text) - len(text.translate(None, SYMBOLS)), dup, repeat_words(hashes.array(words)))
+    return Base(len(words), n_chars - spaces, len(text) - len(text.translate(None, SYMBOLS)), dup, repeat_words(hashes))
 
 
 def line_features(text: bytes, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -209,12 +210,18 @@ class Judge:
     def __init__(self, field: LineField, min_words: int = 10, max_repeat_percent: int = 20, min_content: float = 0.5):
         self.field, self.min_words, self.max_repeat_percent, self.min_content = field, min_words, max_repeat_percent, min_content
 
-    def __call__(self, text: bytes, n_chars: int, hashes: WordHashes) -> tuple[Base, bool, float, bool]:
+    def __call__(self, text: bytes, n_chars: int, hashes: np.ndarray) -> tuple[Base, bool, float, bool]:
         base = base_counts(text, n_chars, hashes)
         failed = base.failed(self.min_words, self.max_repeat_percent)
         share = self.field.content_share(text)
         return base, failed, share, not failed and share >= self.min_content
 
+    def all(self, texts: pa.Array) -> Iterator[tuple[Base, bool, float, bool]]:
+        """Verdicts of a column of texts."""
+        words = Words(texts)
+        for t, h in zip(as_bytes(texts), words.by_text(words.hashes()), strict=True):
+            yield self(t, _n_chars(t), h)
+
 
 def _n_chars(text: bytes) -> int:
     return len(text) if text.isascii() else len(text.decode())
@@ -223,11 +230,11 @@ def _n_chars(text: bytes) -> int:
 def judge(docs: DataFrame, field: LineField, id_col: str = "doc_id", **rules) -> DataFrame:
     """One row per text: the id, base counts, base_failed, kept and content_share."""
     verdict = Judge(field, **rules)
+    bounded_batches(docs.sparkSession)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches_of(batches):
-            rows = [(r[0].n_words, r[0].word_chars, r[0].n_symbols, r[0].n_dup_lines, r[0].n_repeat_words, r[1], r[3], r[2]) for r in (verdict(t, _n_chars(t), hashes) for t in as_bytes(b.column(1)))]
+            rows = [(r[0].n_words, r[0].word_chars, r[0].n_symbols, r[0].n_dup_lines, r[0].n_repeat_words, r[1], r[3], r[2]) for r in verdict.all(b.column(1))]
             columns = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), *(pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()], strict=True))],
@@ -242,11 +249,11 @@ def judge(docs: DataFrame, field: LineField, id_col: str = "doc_id", **rules) ->
 def keep(docs: DataFrame, field: LineField, **rules) -> DataFrame:
     """The rows of docs, all columns, whose text is kept."""
     verdict, at = Judge(field, **rules), docs.columns.index("text")
+    bounded_batches(docs.sparkSession)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches_of(batches):
-            yield b.filter(pa.array([verdict(t, _n_chars(t), hashes)[3] for t in as_bytes(b.column(at))], pa.bool_()))
+            yield b.filter(pa.array([r[3] for r in verdict.all(b.column(at))], pa.bool_()))
 
     return docs.mapInArrow(apply, docs.schema)
 
