@@ -6,7 +6,8 @@ anchor: far fewer anchors than windows are shuffled. Only windows whose anchor o
 in the corpus can be repeated; all others are settled.
 
 Anchors travel packed, many to a row. A worker sends one of equal anchors of its batch, so that an
-anchor that is everywhere costs a row per batch and not one per place.
+anchor that is everywhere costs a row per batch and not one per place. Where anchors meet, a task
+holds one bucket at a time, a quarter of what a shuffle partition holds on average.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import NULL_ID, as_bytes, batches_of, partitions
 
 #: Text of a worker's batch whose anchors are packed together.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 12 << 20
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -93,6 +94,23 @@ def by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(ordered[s]), order[s:e]
 
 
+def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """(bucket, its packed rows), bucket after bucket, of rows that are sorted by bucket. Rows of buckets below 0 come as they are."""
+    now, rows = None, []
+    for b in batches:
+        for bucket, row in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if bucket < 0:
+                yield bucket, [row.as_py()]
+                continue
+            if bucket != now and rows:
+                yield now, rows
+                rows = []
+            now = bucket
+            rows.append(row.as_py())
+    if rows:
+        yield now, rows
+
+
 def repeated_anchors(docs: DataFrame, find: Callable[[list[bytes]], Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]) -> DataFrame:
     """Per document (k, v) the runs of windows whose anchor occurs again in the corpus: ``runs``, an array of binary, each of RUN.
 
@@ -118,7 +136,7 @@ def repeated_anchors(docs: DataFrame, find: Callable[[list[bytes]], Iterator[tup
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for b in batches_of(batches, 8 << 20):
+        for b in batches_of(batches):
             k, v, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), as_bytes(b.column(2))
             for i, h, first, place, n in find(texts):
                 parts.append({"h": h, "k": np.full(len(h), k[i]), "v": np.full(len(h), v[i]), "first": first, "place": place, "n": n})
@@ -130,16 +148,13 @@ def repeated_anchors(docs: DataFrame, find: Callable[[list[bytes]], Iterator[tup
             yield _pairs(flush(parts))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here: dict[int, list[dict]] = {}
-        for b in batches:
-            for bucket, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = ANCHORS.load(row)[0]
-                if bucket < 0:
+        for bucket, rows in buckets_of(batches_of(batches)):
+            if bucket < 0:
+                for row in rows:
+                    got = ANCHORS.load(row)[0]
                     yield from _runs(got, np.ones(len(got["h"]), bool))
-                else:
-                    here.setdefault(bucket, []).append(got)
-        while here:
-            parts = here.popitem()[1]
+                continue
+            parts = [ANCHORS.load(row)[0] for row in rows]
             c = {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
             order = np.argsort(c["h"], kind="stable")
             h = c["h"][order]
@@ -150,7 +165,7 @@ def repeated_anchors(docs: DataFrame, find: Callable[[list[bytes]], Iterator[tup
             yield from _runs({name: a[order] for name, a in c.items()}, keep)
 
     sent = docs.mapInArrow(send, "bucket int, packed binary")
-    met = sent.repartition(partitions(spark), "bucket").mapInArrow(meet, "k long, v int, runs binary")
+    met = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "k long, v int, runs binary")
     return met.groupBy("k", "v").agg(F.collect_list("runs").alias("runs"))
 
 

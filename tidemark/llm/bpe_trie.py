@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Words, batches_of, bounded_batches, gathered, lowered, table
 
 #: Chunks that a worker process remembers.
-KNOWN = 300_000
+KNOWN = 200_000
 
 
 class TrieBpe:
@@ -291,7 +291,7 @@ def _mapped(docs: DataFrame, tokenizer: str | None, id_col: str, columns: str, k
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        for b in batches_of(batches, 8 << 20):
+        for b in batches_of(batches):
             rows = [(n, *made(ids, text)) for n, ids, text in encoder.encode(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), *kinds], strict=True))], names=names)
 

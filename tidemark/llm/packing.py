@@ -32,7 +32,7 @@ from tidemark.llm.common import batches_of, bounded_batches, distinct, flat, gat
 
 CAPACITY, LEAST, END_ID = 1024, 64, 0
 #: Chunks that a worker process remembers.
-KNOWN = 500_000
+KNOWN = 250_000
 
 
 #: Bytes that may stand beside a cut: no ASCII white space, and no first byte of a character that may be white space.
@@ -245,7 +245,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
             sequence += 1
 
         kinds = [None, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        for b in batches_of(batches, 8 << 20):
+        for b in batches_of(batches):
             kinds[0] = b.column(0).type
             for key, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
                 for s in bins.add(key, b"".join((ids, end))):

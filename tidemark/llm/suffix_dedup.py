@@ -30,12 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.anchors import Pack, by_bucket, keyed, repeated_anchors, runs_of, sliding_anchors
+from tidemark.llm.anchors import Pack, buckets_of, by_bucket, keyed, repeated_anchors, runs_of, sliding_anchors
 from tidemark.llm.common import NULL_ID, Scratch, as_bytes, batches_of, mix, partitions, table
 
 LENGTH, GRAM = 100, 32
 #: Bytes hashed at once, and the longest stretch of a text that is.
-_CHUNK, _STRETCH = 1 << 20, 4 << 20
+_CHUNK, STRETCH = 1 << 20, 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
@@ -43,7 +43,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 def _powers(base: int) -> np.ndarray:
     if base not in _POWERS:
-        p = np.full(_CHUNK + _STRETCH + LENGTH + 1, base, np.uint64)
+        p = np.full(_CHUNK + STRETCH + 2 * LENGTH, base, np.uint64)
         p[0] = 1
         _POWERS[base] = np.multiply.accumulate(p)
     return _POWERS[base]
@@ -58,7 +58,7 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:-k]) * _powers(_INVERSE)[: len(data) - k + 1])
 
 
-def text_anchors(length: int, gram: int):
+def text_anchors(length: int, gram: int, stretch: int = STRETCH):
     """For ``repeated_anchors``: the runs of windows of ``length`` bytes by their ``gram``-byte anchor."""
 
     def of_chunk(pieces: list[tuple[int, int, bytes]]) -> Iterator[tuple]:
@@ -74,8 +74,8 @@ def text_anchors(length: int, gram: int):
     def find(texts: list[bytes]) -> Iterator[tuple]:
         pieces, size = [], 0
         for i, t in enumerate(texts):
-            for offset in range(0, max(1, len(t) - length + 1), _STRETCH):
-                piece = t[offset : offset + _STRETCH + length - 1]
+            for offset in range(0, max(1, len(t) - length + 1), stretch):
+                piece = t[offset : offset + stretch + length - 1]
                 if len(piece) < length:
                     continue
                 pieces.append((i, offset, piece))
@@ -237,7 +237,7 @@ def repeated_spans(docs: DataFrame, runs: DataFrame, length: int = LENGTH, gram:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for b in batches_of(batches, 4 << 20):
+        for b in batches_of(batches):
             for k, v, text, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True):
                 r = runs_of(raw)
                 first, size = r["first"], r["n"].astype(np.int32) - 1 + length
@@ -245,22 +245,19 @@ def repeated_spans(docs: DataFrame, runs: DataFrame, length: int = LENGTH, gram:
                 h = np.fromiter((xxhash.xxh3_64_intdigest(text[p : p + gram]) for p in place), np.uint64, len(r))
                 parts.append(({"h": h, "k": np.full(len(r), k), "v": np.full(len(r), v), "first": first, "n": r["n"].astype(np.int32), "size": size}, [text[a : a + s] for a, s in zip(first.tolist(), size.tolist(), strict=True)]))
                 held += int(size.sum())
-            if held > 12 << 20:
+            if held > 8 << 20:
                 yield _rows(flush(parts))
                 parts, held = [], 0
         if parts:
             yield _rows(flush(parts))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here: dict[int, list[tuple]] = {}
-        for b in batches:
-            for bucket, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if bucket < 0:
+        for bucket, rows in buckets_of(batches_of(batches)):
+            if bucket < 0:
+                for row in rows:
                     yield from _span_rows(np.frombuffer(row, SPANS))
-                else:
-                    here.setdefault(bucket, []).append(CONTEXTS.load(row))
-        while here:
-            parts = here.popitem()[1]
+                continue
+            parts = [CONTEXTS.load(row) for row in rows]
             c = {name: np.concatenate([p[0][name] for p in parts]) for name in parts[0][0]}
             contexts = []
             for own, raw in parts:
@@ -275,7 +272,7 @@ def repeated_spans(docs: DataFrame, runs: DataFrame, length: int = LENGTH, gram:
         return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
 
     with_runs = docs.join(runs, ["k", "v"]).select("k", "v", "text", "runs")
-    return with_runs.mapInArrow(send, "bucket int, packed binary").repartition(partitions(spark), "bucket").mapInArrow(meet, "k long, v int, spans binary")
+    return with_runs.mapInArrow(send, "bucket int, packed binary").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "k long, v int, spans binary")
 
 
 def cut(text: bytes, spans: list[bytes]) -> tuple[bytes, int]:
@@ -308,7 +305,7 @@ def digests(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFram
     rows, spans, first = plan(docs, scratch, length)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, 8 << 20):
+        for b in batches_of(batches):
             got = [(len(t), *cut(t, s)) for t, s in zip(as_bytes(b.column(2)), b.column(3).to_pylist(), strict=True)]
             columns = [pa.array([n - len(kept) for n, kept, _ in got], pa.int64()), pa.array([r for _, _, r in got], pa.int64()), pa.array([hashlib.sha256(kept).hexdigest() for _, kept, _ in got])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["k", "v", "removed", "runs", "kept"])
