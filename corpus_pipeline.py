@@ -19,21 +19,41 @@ from tidemark.llm.common import NULL_ID, Scratch, as_bytes, batches_of, table
 ORACLE_SQL = None
 #: Words of a shingle in the near-duplicate stage; op1 alone takes four.
 SHINGLE = 5
+KEY = "_pipeline_key"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the line field keep. The field learns from labelled documents of the input table."""
+    """Documents that the base rule and the line field keep. The field learns from labelled documents of the input table.
+
+    Null and empty texts fail the base rule and go; repeated rows and rows without an id are judged
+    each by its text. An empty table stays empty.
+    """
     return quality.keep(docs, quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by shingles of five words: the one with the smallest id."""
-    dropped = minhash.near_duplicates(docs, Scratch(spark, "pipeline-near"), k=SHINGLE).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near-duplicates, by shingles of five words: the one with the smallest id.
+
+    Texts without words are in no group and stay. Rows without an id are documents of their own,
+    behind all others, rows of one id and text are one document, of which one row stays; rows of one
+    id with different texts stay or go together. An empty table stays empty.
+    """
+    # Without an id, a digest of the text stands for it; real ids lie below.
+    own = F.lit(1 << 61) + F.shiftrightunsigned(F.xxhash64("text"), 3)
+    keyed = docs.withColumn(KEY, F.coalesce(F.col("doc_id").cast("long"), own))
+    judged = Scratch(spark, "pipeline-near").settle(minhash.near_duplicates(keyed.select(KEY, "text"), Scratch(spark, "pipeline-near"), id_col=KEY, k=SHINGLE), "judged")
+    kept = keyed.join(judged.where("NOT kept").select(KEY).distinct(), KEY, "left_anti")
+    if not judged.groupBy(KEY).count().where("count > 1").isEmpty():
+        kept = kept.withColumn(f"{KEY}_sha", F.sha2("text", 256)).dropDuplicates([KEY, f"{KEY}_sha"])
+    return kept.select(docs.columns)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that start earlier in a 100-byte string; bytes of a character that was cut go with it, and n_chars counts what remains."""
+    """Documents without the bytes that start earlier in a 100-byte string; bytes of a character that was cut go with it, and n_chars counts what remains.
+
+    No row goes: a text that a smaller id has whole becomes empty, a null text stays null. Repeated
+    rows are one document and cut alike; an id that is null is the largest. An empty table stays empty.
+    """
     rows, spans, first = suffix_dedup.plan(docs, Scratch(spark, "pipeline-suffix"))
     k = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     owner = first.select(F.col("sha").alias("_sha"), F.col("k").alias("_rk"), F.col("v").alias("_v"))
@@ -43,7 +63,7 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     names, at = docs.columns, {c: i for i, c in enumerate(docs.columns)}
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_of(batches, 8 << 20):
+        for b in batches_of(batches):
             texts = []
             for raw, text, cut, whole in zip(b.column(at["text"]), as_bytes(b.column(at["text"])), b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True):
                 if not raw.is_valid:
@@ -62,7 +82,7 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the tokenised documents in sequences of at most 1024 ids."""
+    """Pieces of the tokenised documents in sequences of at most 1024 ids. Null texts are an end id alone; repeated rows are documents of their own; an empty table gives no pieces."""
     return packing.digests(packing.pack(docs))
 
 
