@@ -24,6 +24,16 @@ def test_upsert_is_idempotent(spark, tmp_path):
     assert sorted(map(tuple, t.read().collect())) == [("a", 0, "z"), ("b", 1, "y")]
 
 
+def test_two_writers_lose_nothing(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/t", "k string, at int")
+    late = VersionedTable(spark, t.root, t.schema)
+    stale, calls = late.version, []
+    late.version = lambda: stale() if calls else calls.append(1) or 0  # what it saw before the other wrote
+    t.upsert(spark.createDataFrame([("a", 1)], t.schema), ["k"], "at")
+    late.upsert(spark.createDataFrame([("b", 1)], t.schema), ["k"], "at")
+    assert sorted(r.k for r in t.read().collect()) == ["a", "b"] and t.version() == 2
+
+
 def test_latest_known_skips_nulls(spark):
     df = spark.createDataFrame([("a", 1, "NL", "old"), ("a", 2, None, "new")], "source_job_id string, scraped_at int, country_code string, title string")
     r = df.groupBy("source_job_id").agg(ops.latest_known("country_code", "scraped_at").alias("c"), ops.latest_known("title", "scraped_at").alias("t")).first()
@@ -97,12 +107,44 @@ def test_breaker_and_replay():
     class Broken:
         model = "m"
 
-        def classify(self, prompt):
+        def __init__(self):
+            self.calls = 0
+
+        def classify(self, key, prompt):
+            self.calls += 1
+            if self.calls == 1:
+                return "answer"
             raise RuntimeError
 
-    with pytest.raises(enrich.CircuitOpen):
-        list(enrich.classify_many(Broken(), [(str(i), "p") for i in range(9)]))
-    assert list(enrich.classify_many(enrich.Replay({"p": "x"}), [("a", "p"), ("b", "q")])) == [("a", "x")]
+    broken = Broken()
+    assert list(enrich.classify_many(broken, [(str(i), "p") for i in range(20)])) == [("0", "answer")] and broken.calls == 6
+    assert list(enrich.classify_many(enrich.Replay({"a": "x"}), [("a", "p"), ("b", "p")])) == [("a", "x")]
+    assert enrich.provider("replay", {"replay": lambda: enrich.Replay({})}).model == "replay"
+    with pytest.raises(ValueError):
+        enrich.provider("other", {"replay": lambda: enrich.Replay({})})
+
+
+def test_enrichment_keeps_what_it_has(spark):
+    class Fails:
+        model = "m"
+
+        def classify(self, key, prompt):
+            if int(key) >= 12:
+                raise RuntimeError
+            return "x"
+
+    rows = spark.createDataFrame([(str(i), "p") for i in range(30)], "k string, p string").coalesce(1)
+    kept = []
+    assert enrich.enrich_pending(rows, "k", "p", Fails(), kept.extend) == 12 == len(kept)
+
+
+def test_eval_runner(spark):
+    golden = spark.createDataFrame([("a", "explicit_yes", "p", "bad"), ("b", None, "p", "bad")], "content_hash string, visa_status_true string, prompt_input string, text_sha256 string")
+    none = spark.createDataFrame([], "content_hash string, response struct<visa: struct<status: string>>")
+    assert replay.run(golden, none, {})["outcome"] == "nothing to score"
+    one = spark.createDataFrame([("a", (("explicit_yes",),))], none.schema)
+    report = replay.run(golden, one, {"accuracy": 0.7})
+    assert (report["scored"], report["drifted"], report["missed"], report["outcome"]) == (1, 2, [], "missed")
 
 
 def test_drift(spark):
@@ -122,9 +164,17 @@ def test_sources(spark):
     assert (h.company_name, h.salary_raw, h.source_url[-2:]) == ("C", "EUR 5", "/s")
     with pytest.raises(KeyError):
         payloads.postings(spark.createDataFrame([], "record string"), "nowhere")
-    page = "<table><tbody><tr><th>Name</th></tr><tr><th>A &amp; B</th><td>0123</td></tr></tbody></table>"
-    assert list(register.parse(page)) == [("A & B", "0123")]
-    assert list(jsonld.nodes('<script type="application/ld+json">{bad</script>')) == []
+    pages = ["<table><tbody><tr><th>Organisation</th><td>No</td></tr><tr><th>A<b> &amp;</b> B</th><td>0123</td></tr><tr><th>C</th></tr></tbody></table>", "<tr><th>D</th><td></td></tr>", None]
+    found = register.register_rows(spark.createDataFrame([(p,) for p in pages], "html string")).collect()
+    assert sorted(map(tuple, found)) == [("A & B", "0123"), ("C", ""), ("D", "")]
+    assert jsonld.postings_in(spark.createDataFrame([('<script type="application/ld+json">{bad</script>',), (None,)], "html string")).count() == 0
+
+
+def test_jsonld_fields(spark):
+    node = {"@type": "jobposting", "title": "T", "hiringOrganization": "Acme", "jobLocation": {"address": "Here"}, "baseSalary": {"currency": "EUR", "value": {"value": 5}}, "employmentType": ["FULL", "PART"], "datePosted": "2024-01-02", "identifier": 7}
+    page = f'<script type="application/ld+json">{json.dumps([[{"@type": "Thing", "@graph": [node, {"x": 1}]}]])}</script>'
+    [r] = jsonld.postings_in(spark.createDataFrame([(page,)], "html string")).collect()
+    assert (r.title, r.company_name, r.location_raw, r.country_code, r.salary_raw, r.employment_type_raw, r.source_job_id, str(r.posted_at)) == ("T", "Acme", "Here", None, "EUR 5", "FULL, PART", "7", "2024-01-02 00:00:00")
 
 
 def test_paging():
@@ -133,6 +183,15 @@ def test_paging():
     assert [r["i"] for r in http.read_query("u", "x", 1, 2, pages.__getitem__)] == [1]
 
 
+def test_paging_counts_complete_records():
+    pages = {"u/1?app_id=i&content-type=application%2Fjson&what=x&results_per_page=2": {"results": [{"legal": 1}, {"id": 1, "title": "a", "redirect_url": "r"}]}, "u/2?app_id=i&content-type=application%2Fjson&what=x&results_per_page=2": {"results": [{"id": 1, "title": "a", "redirect_url": "r"}, {"id": 2, "title": "b", "redirect_url": "r"}]}}
+    own = {"app_id": "i", "content-type": "application/json"}
+    assert [r["id"] for r in http.read_query("u/{page}", "x", 2, 2, pages.__getitem__, http.APIS["adzuna"], own)] == [1, 2]
+    with pytest.raises(ValueError):
+        http.APIS["adzuna"].parameters({"app_id": "i"})
+    assert http.shares(200, 6) == [34, 34, 33, 33, 33, 33] and sum(http.shares(5, 6)) == 5
+
+
 def test_log_and_status(spark, tmp_path):
     assert log.run_summary([{"unique_id": "test.a", "status": "pass"}, {"unique_id": "model.b", "status": "success"}]) == {"tests_total": 1, "tests_passed": 1, "models_total": 1, "models_passed": 1}
     assert not log.changed({"rows": 1, "generated_at": "a"}, {"rows": 1, "generated_at": "b"})

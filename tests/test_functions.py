@@ -62,7 +62,7 @@ def test_text_recipes(spark):
     assert one(spark, text.strip_html("h"), h="<p>a&nbsp;&lt;b</p> c") == "a <b c"
     assert one(spark, text.extract_json("h"), h='```json\n{"a": {"b": 1}}\n```') == '{"a": {"b": 1}}'
     assert one(spark, text.redact("h"), h="https://x/y?key=abc&z=1") == "https://x/y?key=***&z=1"
-    assert one(spark, text.truncate("h", 3), h="abcdef") == "abc…"
+    assert one(spark, text.truncate("h", 3), h="abcdef") == "abc …[truncated]"
     assert one(spark, text.parse_instant("h").cast("string"), h="2024-05-01T10:00:00Z") == "2024-05-01 10:00:00"
     assert one(spark, text.parse_instant("h"), h="soon") is None
     assert one(spark, text.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(0.0)))) == 1.0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.latest import round_robin
@@ -30,19 +30,28 @@ def signal_hits(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
 
 
-def cue_weighted(pool: DataFrame, key: str, stratum: str, text: str, size: int, share: float = 0.6, seed: str = DEFAULT_SEED) -> DataFrame:
-    """``size`` rows: up to ``share`` of them with a cue, spread over strata; the rest without, topped up with cued ones."""
-    hashed = pool.withColumn("_h", sample_hash(F.col(key), seed)).withColumn("_cue", has_cue(F.col(text)))
+def descriptions(postings: DataFrame, content_hash: str = "content_hash", text: str = "description_raw", least: int = 200) -> DataFrame:
+    """One description longer than ``least`` for each content hash, the least of them."""
+    return postings.where(F.length(text) > least).groupBy(content_hash).agg(F.min(text).alias(text))
+
+
+def cue_weighted(pool: DataFrame, key: str, strata: str | list[str], text: str, size: int, share: float = 0.6, seed: str = DEFAULT_SEED, exclude: DataFrame | None = None, cues: tuple[str, ...] = CUES) -> DataFrame:
+    """``size`` rows: up to ``share`` of them with a cue, spread over strata; the rest without, topped up with cued ones. Keys of ``exclude`` are left out.
+
+    One plan without counts on the driver: cued rows are ranked by their spread, plain rows fill what
+    the cued ones up to ``share`` leave, and further cued rows what the plain ones leave.
+    """
+    if exclude is not None:
+        pool = pool.join(exclude.select(key).distinct(), key, "left_anti").select(pool.columns)
+    hashed = pool.withColumn("_h", sample_hash(F.col(key), seed)).withColumn("_cue", F.coalesce(has_cue(F.col(text), cues), F.lit(False))).drop(text)
+    by = [strata] if isinstance(strata, str) else list(strata)
     wanted = round(size * share)
-    cued = round_robin(hashed.where("_cue"), stratum, "_h", wanted)
-    # How many cued rows there are decides how many plain ones are wanted: a count of at most ``wanted`` rows.
-    n_cued = cued.count()
-    plain = round_robin(hashed.where("NOT _cue"), stratum, "_h", size - n_cued)
-    missing = size - n_cued - plain.count()
-    out = cued.unionByName(plain)
-    if missing > 0:
-        out = out.unionByName(round_robin(hashed.where("_cue").join(cued.select(key), key, "left_anti").select(hashed.columns), stratum, "_h", missing))
-    return out.orderBy("_h").drop("_cue", "_h")
+    cued = round_robin(hashed.where("_cue"), by, "_h", wanted).withColumn("_turn", F.lit(0))
+    plain = round_robin(hashed.where("NOT _cue"), by, "_h", size).withColumn("_turn", F.lit(1))
+    late = round_robin(hashed.where("_cue").join(cued.select(key), key, "left_anti").select(hashed.columns), by, "_h", size).withColumn("_turn", F.lit(2))
+    spread = Window.partitionBy("_turn", *by).orderBy("_h")
+    ordered = cued.unionByName(plain).unionByName(late).withColumn("_i", F.row_number().over(spread))
+    return ordered.orderBy("_turn", "_i", *by, "_h").limit(size).orderBy("_h").drop("_cue", "_h", "_turn", "_i")
 
 
 def triage(rows: DataFrame, key: str, text: str, label: str | None = None) -> DataFrame:

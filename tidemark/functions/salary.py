@@ -34,7 +34,7 @@ def _first(text: Column, choices: tuple) -> Column:
 
 
 def _amount(token: Column) -> Column:
-    token = F.trim(token)
+    """A trimmed token's number."""
     suffix = F.lower(F.right(token, F.lit(1)))
     times = F.when(suffix == "k", 1e3).when(suffix == "m", 1e6).otherwise(1.0)
     digits = F.trim(F.regexp_replace(token, "[kKmM]$", ""))
@@ -53,15 +53,17 @@ def parse_salary(c: Column | str) -> Column:
     """struct<min_amount, max_amount, currency, period, is_gross, is_estimated>; null where nothing is usable."""
     raw = F.col(c) if isinstance(c, str) else c
     text = F.lower(raw)
-    numbers = F.filter(F.transform(F.regexp_extract_all(raw, F.lit(r"(\d[\d.,]*\s*[kKmM]?)"), 1), _amount), lambda x: x.isNotNull())
-    big = F.filter(numbers, lambda x: x >= 100)
-    two = F.slice(F.when(F.size(big) > 0, big).otherwise(numbers), 1, 2)
     currency = _first(text, CURRENCIES)
-    fields = F.struct(
+    # Each list is bound by a lambda, so that no use of it computes it anew.
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    amounts = F.transform(F.regexp_extract_all(raw, F.lit(r"(\d[\d.,]*\s*[kKmM]?)"), 1), lambda t: bound(F.trim(t), _amount))
+    first_two = lambda numbers: F.slice(F.when(F.exists(numbers, lambda x: x >= 100), F.filter(numbers, lambda x: x >= 100)).otherwise(numbers), 1, 2)
+    two_of = lambda found: bound(F.filter(found, lambda x: x.isNotNull()), first_two)
+    made = lambda two: F.when((F.size(two) > 0) | currency.isNotNull(), F.struct(
         F.array_min(two).alias("min_amount"), F.array_max(two).alias("max_amount"), currency.alias("currency"), _first(text, PERIODS).alias("period"),
         F.when(_any(text, GROSS), True).when(_any(text, NET), False).alias("is_gross"), F.when(_any(text, ESTIMATED), True).alias("is_estimated"),
-    )
-    return F.when((F.trim(raw) != "") & ((F.size(two) > 0) | currency.isNotNull()), fields)
+    ))
+    return F.when(F.trim(raw) != "", bound(bound(amounts, two_of), made))
 
 
 def annual_eur(salary: Column) -> Column:

@@ -33,10 +33,15 @@ def extract_skills(text: Column, terms: list[str]) -> Column:
 
 
 def match(postings: DataFrame, skills: list[str], col: str = "technologies") -> DataFrame:
-    """Postings with skills, and the share of them that is among ``skills``: match_pct, matched, missing, n_techs."""
+    """Postings with skills, and the share of them that is among ``skills``: match_pct, matched, missing, n_techs. ``ranked`` orders them."""
     mine = F.array(*(F.lit(s.lower()) for s in skills)).cast("array<string>")
     have = F.filter(col, lambda t: F.array_contains(mine, F.lower(t)))
     lack = F.filter(col, lambda t: ~F.array_contains(mine, F.lower(t)))
     return postings.where(F.size(col) > 0).select(
         "*", (F.size(have) / F.size(col)).alias("match_pct"), F.array_sort(have).alias("matched"), F.array_sort(lack).alias("missing"), F.size(col).cast("long").alias("n_techs")
     )
+
+
+def ranked(matched: DataFrame, newest: str, *tie: str) -> DataFrame:
+    """Matches from best to least: by share, then by evidence (more skills), then newest."""
+    return matched.orderBy(F.desc("match_pct"), F.desc("n_techs"), F.desc_nulls_last(newest), *tie)

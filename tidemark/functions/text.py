@@ -116,7 +116,7 @@ def strip_html(c: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
 
 
-def truncate(c: Column | str, most: int = 6000, suffix: str = "…") -> Column:
+def truncate(c: Column | str, most: int = 6000, suffix: str = " …[truncated]") -> Column:
     return F.when(F.length(_col(c)) > most, F.concat(F.substring(_col(c), 1, most), F.lit(suffix))).otherwise(_col(c))
 
 
@@ -154,7 +154,37 @@ def age_label(ts: Column | str, now: Column | None = None) -> tuple[Column, Colu
     return label, F.when(hours.isNull(), "bad").when(hours < 36, "good").when(days <= 3, "warn").otherwise("bad")
 
 
-def prompt_text(title: Column | str, company: Column | str, location: Column | str, country: Column | str, employment: Column | str, description: Column | str) -> Column:
-    """A posting as lines of labelled text for a classifier; what is missing says so."""
-    line = lambda label, c: F.concat(F.lit(f"{label}: "), F.coalesce(_col(c), F.lit("(not stated)")))
-    return F.concat_ws("\n", line("Title", title), line("Company", company), line("Location", location), line("Country", country), line("Employment type", employment), F.lit(""), F.lit("Description:"), truncate(_empty(description)))
+def prompt_text(title: Column | str, company: Column | str, location: Column | str, country: Column | str, language: Column | str, salary: Column | str, description: Column | str) -> Column:
+    """A posting as lines of labelled text for a classifier; what is missing or empty says so."""
+    # Labels, and what stands for a missing value.
+    line = lambda label, c, missing: F.concat(F.lit(f"{label}: "), _or(c, missing))
+    return F.concat_ws(
+        "\n", line("Title", title, "(none)"), line("Company", company, "(unknown)"), line("Location", location, "(unknown)"), line("Country", country, "(unknown)"),
+        line("Detected language", language, "(unknown)"), line("Salary (raw)", salary, "(none)"), F.lit(""), F.lit("Job description:"), _or(truncate(description), "(no description provided)"),
+    )
+
+
+def _or(c: Column | str, missing: str) -> Column:
+    return F.coalesce(F.nullif(_col(c).cast("string"), F.lit("")), F.lit(missing))
+
+
+#: Short words by language (ISO 639-1) that are frequent in it.
+FUNCTION_WORDS = {
+    "de": ("der", "die", "das", "und", "den", "von", "zu", "mit", "für", "ist", "ein", "eine", "nicht", "auf", "wir"),
+    "en": ("the", "and", "of", "to", "in", "is", "that", "for", "with", "on", "are", "you", "was", "by", "it"),
+    "es": ("el", "la", "los", "las", "que", "y", "en", "por", "con", "para", "una", "un", "del", "se", "es"),
+    "fr": ("le", "la", "les", "et", "des", "est", "une", "un", "dans", "pour", "avec", "sur", "du", "que", "par"),
+    "nl": ("de", "het", "een", "en", "van", "voor", "met", "op", "zijn", "niet", "wij", "aan", "bij", "naar", "ook"),
+}
+
+
+def _count(words: Column, own: tuple[str, ...]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(*own)))
+
+
+def detect_language(c: Column | str, min_chars: int = 20) -> Column:
+    """The language whose function words a text has most of, the first by code of equal ones; null for short texts and those without any."""
+    words = F.split(F.lower(_col(c)), r"[^\p{L}]+")
+    hits = [F.struct(_count(words, own).alias("n"), F.lit(-i).alias("i"), F.lit(code).alias("code")) for i, (code, own) in enumerate(sorted(FUNCTION_WORDS.items()))]
+    best = F.array_max(F.array(*hits))
+    return F.when((F.length(F.trim(_col(c))) >= min_chars) & (best["n"] > 0), best["code"])

@@ -13,9 +13,14 @@ def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def clusters(df: DataFrame, key: str, *order: Column) -> DataFrame:
-    """The representative of each cluster, with the cluster's size; both windows share one shuffle."""
-    own = Window.partitionBy(key)
-    return df.withColumn("cluster_size", F.count("*").over(own)).withColumn("_rn", F.row_number().over(own.orderBy(*order))).where("_rn = 1").drop("_rn")
+    """The representative of each cluster, the first in the order given, with the cluster's size.
+
+    Sizes are summed and first rows chosen before the shuffle, so that a cluster of any size sends
+    a row for each task at most.
+    """
+    first = latest(df, [key], *order)
+    sizes = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("cluster_size"))
+    return first.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def latest_known(value: Column | str, at: Column | str) -> Column:
@@ -36,7 +41,8 @@ def pending(latest_versions: DataFrame, done: DataFrame, key: str, country: str,
     return todo.orderBy(F.desc_nulls_last(F.col(country) == home), F.desc(at), key).limit(most)
 
 
-def round_robin(df: DataFrame, stratum: str, hashed: str, n: int) -> DataFrame:
-    """n rows spread over strata: the first of each by hash, then the second of each, and so on."""
-    w = Window.partitionBy(stratum).orderBy(hashed)
-    return df.withColumn("_i", F.row_number().over(w)).orderBy("_i", stratum, hashed).limit(n).drop("_i")
+def round_robin(df: DataFrame, strata: str | list[str], hashed: str, n: int) -> DataFrame:
+    """n rows spread over strata: the first of each by hash, then the second of each, and so on. No row beyond the n-th of its stratum can be chosen, so it isn't shuffled."""
+    by = [strata] if isinstance(strata, str) else list(strata)
+    w = Window.partitionBy(*by).orderBy(hashed)
+    return df.withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= n).orderBy("_i", *by, hashed).limit(n).drop("_i")

@@ -63,7 +63,7 @@ def latest_per_key(spark, sf_dir):
 
 _NORM = "trim(regexp_replace(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
 _NORM_TITLE = "trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({}, '')), '\\([^)]*\\)', ' ', 'g'), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g'))"
-_KEY = f"md5(concat_ws('|', {_NORM.format('source')}, {_NORM_TITLE.format('left(text, 5)')}, lower(coalesce(lang, ''))))"
+_KEY = f"md5(concat_ws('|', {_NORM.format('source')}, {_NORM_TITLE.format('text')}, lower(coalesce(lang, ''))))"
 
 
 @query(f"""
@@ -71,7 +71,7 @@ WITH k AS (SELECT doc_id, {_KEY} AS canonical_job_id, n_chars FROM documents)
 SELECT canonical_job_id, doc_id, count(*) OVER (PARTITION BY canonical_job_id) AS cluster_size FROM k
 QUALIFY row_number() OVER (PARTITION BY canonical_job_id ORDER BY CASE WHEN n_chars % 3 = 0 THEN n_chars END ASC NULLS LAST, doc_id DESC) = 1""")
 def dedup_clusters(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", text.canonical_key("source", F.substring("text", 1, 5), "lang").alias("canonical_job_id"), F.when(F.col("n_chars") % 3 == 0, F.col("n_chars")).alias("posted"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", text.canonical_key("source", "text", "lang").alias("canonical_job_id"), F.when(F.col("n_chars") % 3 == 0, F.col("n_chars")).alias("posted"))
     return ops.clusters(d, "canonical_job_id", F.asc_nulls_last("posted"), F.desc("doc_id")).select("canonical_job_id", "doc_id", "cluster_size")
 
 
@@ -118,7 +118,7 @@ def normalize_names(spark, sf_dir):
 
 
 _FACT = """
-WITH e AS (SELECT doc_id, quality, toxic FROM labels), r AS (SELECT 'src' || s_suppkey AS source, min(s_name) AS kvk FROM supplier WHERE s_suppkey < 5 GROUP BY 1),
+WITH e AS (SELECT doc_id, quality, toxic FROM labels), r AS (SELECT 'src' || s_suppkey AS source, min(s_name) AS kvk FROM supplier GROUP BY 1),
 f AS (SELECT d.doc_id, d.source, d.lang, d.n_chars, CASE WHEN e.doc_id IS NULL THEN NULL WHEN e.quality = 1 AND e.toxic = 0 THEN 'likely_yes' WHEN e.quality = 1 THEN 'unclear' ELSE 'explicit_no' END AS visa_status,
       e.doc_id IS NOT NULL AS is_enriched, r.source IS NOT NULL AS is_recognised_sponsor, r.kvk AS sponsor_kvk
       FROM documents d LEFT JOIN e ON d.doc_id = e.doc_id LEFT JOIN r ON d.source = r.source)
@@ -128,10 +128,10 @@ _BUCKET = "CASE WHEN is_recognised_sponsor THEN 'Recognised sponsor (IND)' WHEN
 
 def _fact(spark, sf_dir):
     e = _t(spark, sf_dir, "labels").select("doc_id", "quality", "toxic", F.lit(True).alias("_e"))
-    r = _t(spark, sf_dir, "supplier").where("s_suppkey < 5").groupBy(F.concat(F.lit("src"), F.col("s_suppkey")).alias("source")).agg(F.min("s_name").alias("sponsor_kvk"))
+    r = _t(spark, sf_dir, "supplier").groupBy(F.concat(F.lit("src"), F.col("s_suppkey")).alias("source")).agg(F.min("s_name").alias("sponsor_kvk"))
     status = F.when(F.col("_e").isNull(), None).when((F.col("quality") == 1) & (F.col("toxic") == 0), "likely_yes").when(F.col("quality") == 1, "unclear").otherwise("explicit_no")
     d = _t(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
-    return d.join(e, "doc_id", "left").join(F.broadcast(r), "source", "left").select(  # four rows at most
+    return d.join(e, "doc_id", "left").join(r, "source", "left").select(
         "doc_id", "source", "lang", "n_chars", status.alias("visa_status"), F.col("_e").isNotNull().alias("is_enriched"), F.col("sponsor_kvk").isNotNull().alias("is_recognised_sponsor"), "sponsor_kvk"
     )
 
@@ -219,23 +219,23 @@ def market_options(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select(F.nullif("lang", F.lit("en")).alias("market")).distinct().orderBy(F.asc_nulls_last("market"))
 
 
-_DUCK_TECH = "list_distinct(list_filter(string_split(lower(regexp_replace(left(text, 200), '[^A-Za-z ]', ' ', 'g')), ' '), lambda x: length(x) BETWEEN 2 AND 6))"
+_DUCK_TECH = "list_distinct(list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), ' '), lambda x: length(x) BETWEEN 2 AND 6))"
 
 
 def _tech(c):
-    words = F.split(F.lower(F.regexp_replace(F.substring(c, 1, 200), "[^A-Za-z ]", " ")), " ")
+    words = F.split(F.lower(F.regexp_replace(c, "[^A-Za-z ]", " ")), " ")
     return F.array_distinct(F.filter(words, lambda x: F.length(x).between(2, 6)))
 
 
 @query(_FACT.rstrip() + f""", x AS (SELECT f.*, {_DUCK_TECH} AS tech, d.text FROM f JOIN documents d ON f.doc_id = d.doc_id)
 SELECT doc_id, source, lang, is_recognised_sponsor, n_chars FROM x
-WHERE (lang IN ('de', 'fr', 'en')) AND contains(lower(left(text, 400)), 'th') AND list_contains(tech, 'the') AND is_enriched ORDER BY is_recognised_sponsor DESC, n_chars DESC NULLS LAST, doc_id LIMIT 1000""")
+WHERE (lang IN ('de', 'fr', 'en')) AND contains(lower(text), 'thion') AND list_contains(tech, 'the') AND is_enriched ORDER BY is_recognised_sponsor DESC, n_chars DESC NULLS LAST, doc_id LIMIT 1000""")
 def explorer_filter(spark, sf_dir):
     from tidemark.serving.explorer import Filters, explore
 
-    d = _t(spark, sf_dir, "documents").select("doc_id", _tech("text").alias("technologies"), F.substring("text", 1, 400).alias("title"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", _tech("text").alias("technologies"), F.col("text").alias("title"))
     rows = _fact(spark, sf_dir).join(d, "doc_id").withColumns({"country_code": F.col("lang"), "company_name": F.lit(None).cast("string"), "last_seen_at": F.col("n_chars")})
-    return explore(rows, Filters(markets=("de", "fr", "en"), search="th", technologies=("the",), enriched_only=True), tie="doc_id").select("doc_id", "source", "lang", "is_recognised_sponsor", "n_chars")
+    return explore(rows, Filters(markets=("de", "fr", "en"), search="thion", technologies=("the",), enriched_only=True), tie="doc_id").select("doc_id", "source", "lang", "is_recognised_sponsor", "n_chars")
 
 
 @query(f"SELECT tech, count(*) AS n FROM (SELECT unnest({_DUCK_TECH}) AS tech FROM documents) GROUP BY 1 ORDER BY n DESC, tech LIMIT 40")
@@ -275,9 +275,9 @@ def jsonld_extract(spark, sf_dir):
     return postings_in(spark.createDataFrame([(_HTML,), ("<p>none</p>",), (None,)], "html string"), "html").select("title", "company_name", "location_raw", "country_code", "salary_raw")
 
 
-@query("""SELECT o_orderkey, round(o_totalprice, 2) AS min_amount, round(o_totalprice, 2) AS max_amount, 'EUR' AS currency, CASE WHEN o_orderkey % 2 = 0 THEN 'month' END AS period FROM orders WHERE o_totalprice >= 100""")
+@query("""SELECT o_orderkey, round(o_totalprice, 2) AS min_amount, round(o_totalprice, 2) AS max_amount, 'EUR' AS currency, CASE WHEN o_orderkey % 2 = 0 THEN 'month' END AS period FROM orders""")
 def salary_parse(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").where("o_totalprice >= 100")
+    o = _t(spark, sf_dir, "orders")
     raw = F.concat(F.lit("€"), F.format_number("o_totalprice", 2), F.when(F.col("o_orderkey") % 2 == 0, " per maand").otherwise(""))
     return o.select("o_orderkey", salary.parse_salary(raw).alias("s")).select("o_orderkey", F.round("s.min_amount", 2).alias("min_amount"), F.round("s.max_amount", 2).alias("max_amount"), "s.currency", "s.period")
 
@@ -299,12 +299,13 @@ def salary_texts(spark, sf_dir):
     return spark.createDataFrame([(r[0],) for r in _SALARIES], "raw string").select("raw", s.alias("s")).select("raw", "s.min_amount", "s.max_amount", "s.currency", "s.period", salary.annual_eur(F.col("s")).alias("annual_eur"))
 
 
-@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id < 200)
-SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS cosine FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id""")
+@query("""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS cosine FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0""")
 def cosine_pairs(spark, sf_dir):
-    v = _t(spark, sf_dir, "embeddings").where("vec_id < 200")  # a fixed reference set: pairs grow with its square
-    a, b = v.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x")), v.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
-    return a.join(b, "label").where("a < b").select("a", "b", F.round(text.cosine("x", "y"), 6).alias("cosine"))
+    """The search of the rows whose id 50 divides, against all rows of their label."""
+    v = _t(spark, sf_dir, "embeddings")
+    a, b = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x")), v.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
+    return a.join(b, "label").where("a <> b").select("a", "b", F.round(text.cosine("x", "y"), 6).alias("cosine"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -355,22 +356,55 @@ def stratified_sample(spark, sf_dir):
     return ops.round_robin(d, "lang", "h", 60).select("doc_id", "lang")
 
 
-@query()
+_CUES = ("tion and", "visa", "und der")
+
+
+def _sample_sql(pool: str, strata: str, size: int) -> str:
+    """The cue-weighted sample of a pool (key, strata, h, cue): cued rows up to 60 %, plain ones, further cued ones."""
+    rank = f"row_number() OVER (PARTITION BY {strata} ORDER BY h) AS i"
+    return f"""WITH p AS ({pool}), a AS (SELECT *, {rank} FROM p WHERE cue), cued AS (SELECT * FROM a ORDER BY i, {strata}, h LIMIT {round(size * 0.6)}),
+plain AS (SELECT *, {rank} FROM p WHERE NOT cue), late AS (SELECT *, {rank} FROM p WHERE cue AND key NOT IN (SELECT key FROM cued)),
+u AS (SELECT *, 0 AS turn FROM cued UNION ALL SELECT *, 1 FROM plain UNION ALL SELECT *, 2 FROM late)
+SELECT key, {strata} FROM u ORDER BY turn, i, {strata}, h LIMIT {size}"""
+
+
+_CUE_SQL = "coalesce(" + " OR ".join(f"contains(lower(text), '{c}')" for c in _CUES) + ", false)"
+
+
+@query(_sample_sql(f"SELECT CAST(doc_id AS VARCHAR) AS key, lang, sha256('golden-v1:' || doc_id) AS h, {_CUE_SQL} AS cue FROM documents", "lang", 40))
 def cue_weighted_sample(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), "lang", "text")
-    return sampling.cue_weighted(d, "key", "lang", "text", 40).select("key", "lang")
+    return sampling.cue_weighted(d, "key", "lang", "text", 40, cues=_CUES).select("key", "lang")
+
 
+@query(_sample_sql(f"SELECT CAST(doc_id AS VARCHAR) AS key, lang, source < 'src15' AS recognised, sha256('golden-v1:' || doc_id) AS h, {_CUE_SQL} AS cue FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)", "lang, recognised", 50))
+def golden_sample(spark, sf_dir):
+    """Strata of market and register, without the records that are labelled already."""
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), "lang", (F.col("source") < "src15").alias("recognised"), "text")
+    done = _t(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("key"))
+    return sampling.cue_weighted(d, "key", ["lang", "recognised"], "text", 50, cues=_CUES, exclude=done).select("key", "lang", "recognised")
 
-@query(r"""SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '(?i)\b(visa|sponsor\w*|relocat\w+|the|and)\b'), lambda x: lower(x)))) AS n_hits FROM documents""")
+
+_SIGNAL_TEXT = "regexp_replace(text, '[À-ÖØ-öø-ɏ]', 'x', 'g') || CASE WHEN doc_id % 3 = 0 THEN ' Visa sponsorship, visa; kennismigrant' ELSE '' END"
+_SIGNALS = "len(list_distinct(list_transform(regexp_extract_all(" + _SIGNAL_TEXT + r", '(?i)\b(" + "|".join(sampling.SIGNAL_TERMS) + r")\b'), lambda x: lower(x))))"
+
+
+def _with_signals(spark, sf_dir):
+    """Documents; every third speaks of the right to work."""
+    return _t(spark, sf_dir, "documents").withColumn("text", F.concat("text", F.when(F.col("doc_id") % 3 == 0, " Visa sponsorship, visa; kennismigrant").otherwise("")))
+
+
+@query(f"SELECT doc_id, {_SIGNALS} AS n_hits FROM documents")
 def term_hits(spark, sf_dir):
-    found = F.regexp_extract_all("text", F.lit(r"(?i)(?<![A-Za-z0-9_])(visa|sponsor[A-Za-z0-9_]*|relocat[A-Za-z0-9_]+|the|and)(?![A-Za-z0-9_])"), 1)
-    return _t(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(F.transform(found, F.lower))).cast("long").alias("n_hits"))
+    return _with_signals(spark, sf_dir).select("doc_id", F.size(sampling.signal_hits(F.col("text"))).cast("long").alias("n_hits"))
 
 
-@query()
+@query(f"""SELECT row_number() OVER (ORDER BY n_hits DESC, doc_id) AS place, doc_id, n_hits FROM (SELECT d.doc_id, {_SIGNALS.replace('doc_id', 'd.doc_id')} AS n_hits FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL) ORDER BY place LIMIT 100""")
 def triage_order(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return sampling.triage(d, "doc_id", "text", "quality").select("doc_id", "n_hits")
+    """The first hundred places of the labelling queue."""
+    d = _with_signals(spark, sf_dir).join(_t(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    first = sampling.triage(d, "doc_id", "text", "quality").limit(100)
+    return first.select(F.row_number().over(Window.orderBy(F.desc("n_hits"), "doc_id")).cast("long").alias("place"), "doc_id", "n_hits")
 
 
 @query("""SELECT 'lineitem' AS tbl, 'not_null(l_orderkey)' AS chk, count(*) FILTER (WHERE l_orderkey IS NULL) AS failures FROM lineitem
@@ -380,8 +414,7 @@ UNION ALL SELECT 'lineitem', 'unique(l_orderkey, l_linenumber)', (SELECT count(*
 UNION ALL SELECT 'orders', 'relationship(o_custkey)', (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0))""")
 def dq_checks(spark, sf_dir):
     tables = {n: _t(spark, sf_dir, n) for n in ("lineitem", "orders")} | {"customer": _t(spark, sf_dir, "customer").where("c_custkey % 2 = 0")}
-    found = dq.run([dq.not_null("lineitem", "l_orderkey"), dq.in_range("lineitem", "l_discount", 0, 0.05), dq.accepted("lineitem", "l_returnflag", ("A", "N")), dq.Unique("lineitem", ("l_orderkey", "l_linenumber")), dq.Relationship("orders", "o_custkey", "customer", "c_custkey")], tables)
-    return spark.createDataFrame(found, "tbl string, chk string, failures long")
+    return dq.failures([dq.not_null("lineitem", "l_orderkey"), dq.in_range("lineitem", "l_discount", 0, 0.05), dq.accepted("lineitem", "l_returnflag", ("A", "N")), dq.Unique("lineitem", ("l_orderkey", "l_linenumber")), dq.Relationship("orders", "o_custkey", "customer", "c_custkey")], tables)
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
@@ -433,12 +466,146 @@ def canonical_key_stripped(spark, sf_dir):
     return _t(spark, sf_dir, "region").select("r_regionkey", text.canonical_key_stripped(F.lower("r_name"), "r_name", F.lit(None).cast("string")).alias("key"))
 
 
-@query("""SELECT max(ts) AS newest, 'error' AS status FROM events""")
+@query("""SELECT h AS hours, newest, CASE WHEN h > 72 THEN 'error' WHEN h > 36 THEN 'warn' ELSE 'pass' END AS status FROM (SELECT max(ts) AS newest FROM events), (VALUES (10), (36), (50), (100)) t(h)""")
 def source_freshness(spark, sf_dir):
-    return dq.freshness(_t(spark, sf_dir, "events").withColumn("_loaded_at", F.col("ts")), now=F.lit("2024-03-01").cast("timestamp"))
+    e = _t(spark, sf_dir, "events").withColumn("_loaded_at", F.col("ts"))
+    at = lambda h: dq.freshness(e, now=F.max("ts") + F.make_interval(hours=F.lit(h))).select(F.lit(h).alias("hours"), "newest", "status")
+    return at(10).unionByName(at(36)).unionByName(at(50)).unionByName(at(100))
 
 
 @query("""SELECT o_orderpriority AS stratum, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) <= 12""")
 def top_per_group(spark, sf_dir):
     w = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return _t(spark, sf_dir, "orders").withColumn("_r", F.row_number().over(w)).where("_r <= 12").select(F.col("o_orderpriority").alias("stratum"), "o_orderkey")
+
+
+@query(f"""WITH t AS (SELECT doc_id, n_chars, {_DUCK_TECH} AS tech FROM documents), m AS (SELECT doc_id, n_chars, len(tech) AS n_techs, len(list_filter(tech, lambda x: x IN ('the', 'and', 'of', 'un', 'den'))) / len(tech) AS p FROM t WHERE len(tech) > 0)
+SELECT doc_id, round(p, 6) AS match_pct, n_techs FROM m ORDER BY p DESC, n_techs DESC, n_chars DESC NULLS LAST, doc_id LIMIT 25""")
+def match_ranking(spark, sf_dir):
+    """The best 25 matches."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "n_chars", _tech("text").alias("technologies"))
+    return skills.ranked(skills.match(d, _SKILLS), "n_chars", "doc_id").limit(25).select("doc_id", F.round("match_pct", 6).alias("match_pct"), "n_techs")
+
+
+@query(_FACT + """SELECT count(*) AS postings, count(*) FILTER (WHERE is_recognised_sponsor) AS at_sponsors, count(DISTINCT source) FILTER (WHERE is_recognised_sponsor) AS sponsors, count(*) FILTER (WHERE NOT is_enriched) AS unclassified FROM f""")
+def audit_counts(spark, sf_dir):
+    from tidemark.serving import explorer
+
+    fact = _fact(spark, sf_dir).withColumn("is_enriched", F.nullif("is_enriched", F.lit(False)))  # unknown counts as not classified
+    return explorer.audit_counts(fact.withColumn("company_name", F.col("source")))
+
+
+@query(_FACT + """SELECT source AS company_name, count(*) AS openings FROM f WHERE is_recognised_sponsor GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12""")
+def top_sponsors(spark, sf_dir):
+    from tidemark.serving import explorer
+
+    return explorer.top_sponsors(_fact(spark, sf_dir).withColumn("company_name", F.col("source")))
+
+
+@query("""SELECT c_custkey, s_suppkey IS NOT NULL AS is_recognised_sponsor, CASE WHEN s_suppkey IS NOT NULL THEN CAST(s_suppkey AS VARCHAR) END AS sponsor_kvk FROM customer LEFT JOIN supplier ON CAST(right(c_name, 9) AS BIGINT) = CAST(right(s_name, 9) AS BIGINT) AND c_nationkey >= 0""")
+def register_match(spark, sf_dir):
+    """Companies and a register that spell a name each in their own way, joined on the normalised name."""
+    seed = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("The CUSTOMER "), F.right("s_name", F.lit(9)), F.lit(" B.V.")).alias("organisation"), F.col("s_suppkey").cast("string").alias("kvk_number"))
+    register = models.stg_register(seed).select(F.col("company_norm").alias("norm"), F.col("kvk_number").alias("sponsor_kvk"))
+    companies = _t(spark, sf_dir, "customer").withColumn("norm", text.normalize_company("c_name"))
+    return companies.join(register, "norm", "left").select("c_custkey", F.col("sponsor_kvk").isNotNull().alias("is_recognised_sponsor"), "sponsor_kvk")
+
+
+@query("""WITH x AS (SELECT source || '/' || lang AS content_hash, min(text) AS t FROM documents WHERE length(text) > 200 GROUP BY 1)
+SELECT doc_id, md5(t) AS description_md5 FROM documents d JOIN x ON x.content_hash = d.source || '/' || d.lang""")
+def described_postings(spark, sf_dir):
+    """Postings with one description for each content hash, so that a hash that was seen often counts once."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("content_hash"), F.col("text").alias("description_raw"))
+    one = sampling.descriptions(d).select("content_hash", F.md5("description_raw").alias("description_md5"))
+    return d.join(one, "content_hash").select("doc_id", "description_md5")
+
+
+@query("""SELECT doc_id, sha256('Title: ' || CASE WHEN doc_id % 3 = 0 THEN '(none)' ELSE 'T' || doc_id END || chr(10) || 'Company: ' || coalesce(nullif(source, ''), '(unknown)') || chr(10) || 'Location: (unknown)' || chr(10) || 'Country: ' || coalesce(nullif(lang, 'en'), '(unknown)') || chr(10)
+|| 'Detected language: ' || coalesce(nullif(lang, ''), '(unknown)') || chr(10) || 'Salary (raw): ' || CASE WHEN n_chars % 2 = 0 THEN '(none)' ELSE CAST(n_chars AS VARCHAR) END || chr(10) || chr(10) || 'Job description:' || chr(10)
+|| CASE WHEN coalesce(text, '') = '' THEN '(no description provided)' WHEN length(text) > 6000 THEN left(text, 6000) || ' …[truncated]' ELSE text END) AS prompt_sha256 FROM documents""")
+def prompt_digest(spark, sf_dir):
+    title = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("T"), F.col("doc_id")))
+    prompt = text.prompt_text(title, "source", F.lit(None), F.nullif("lang", F.lit("en")), "lang", F.when(F.col("n_chars") % 2 == 1, F.col("n_chars").cast("string")), "text")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.sha2(prompt, 256).alias("prompt_sha256"))
+
+
+#: Answers to a prompt, and whether they break the contract.
+_ANSWERS = [
+    ('{"visa": {"status": "unclear", "confidence": 0.5}, "seniority": "senior", "technologies": ["python"]}', False), ('{"visa": {"status": "explicit_yes", "confidence": 1, "evidence": "we sponsor"}, "enrichment_confidence": 0.25}', False),
+    ('{"normalized_role": "x"}', True), ('{"visa": {"status": "maybe", "confidence": 0.5}}', True), ('{"visa": {"status": "unclear"}}', True), ('{"visa": {"status": "unclear", "confidence": 1.5}}', True),
+    ('{"visa": {"status": "unclear", "confidence": 0.5}, "seniority": "guru"}', True), ('{"visa": {"status": "unclear", "confidence": 0.5}, "surprise": 1}', True), ('{"visa": {"status": "unclear", "confidence": 0.5, "mood": "x"}}', True),
+    ('{"visa": {"status": "unclear", "confidence": 0.5}, "enrichment_confidence": -1}', True), ("not json", True), ('{"visa": {"status": "unclear", "confidence": 0.5}, "technologies": "python"}', True),
+]
+
+
+@query("SELECT doc_id, answer, failed, CASE WHEN NOT failed THEN answer[22:28] = 'unclear' END AS unclear FROM labels JOIN (VALUES " + ", ".join(f"({i}, '{a}', {f})" for i, (a, f) in enumerate(_ANSWERS)) + f") t(i, answer, failed) ON doc_id % {len(_ANSWERS)} = i")
+def answer_contract(spark, sf_dir):
+    from tidemark.serving import enrich
+
+    answers = F.array(*(F.lit(a) for a, _ in _ANSWERS))
+    d = _t(spark, sf_dir, "labels").select("doc_id", F.get(answers, (F.col("doc_id") % len(_ANSWERS)).cast("int")).alias("answer"))
+    return enrich.parsed(d).select("doc_id", "answer", "failed", (F.col("visa.status") == "unclear").alias("unclear"))
+
+
+@query("""SELECT s_name || ' & Søn' AS organisation, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE CAST(s_suppkey AS VARCHAR) END AS kvk_number FROM supplier""")
+def register_scan(spark, sf_dir):
+    """A page of the register for each nation: half of them without a body, some rows without a number."""
+    from tidemark.sources import register
+
+    number = F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(F.concat(F.lit("<td class='n'> "), F.col("s_suppkey"), F.lit("</td>")))
+    row = F.concat(F.lit("<tr><th scope='row'>"), F.regexp_replace("s_name", "#", "<b>#</b>"), F.lit(" &amp; S&oslash;n</th>"), number, F.lit("</tr>"))
+    page = F.concat(F.lit("<tr><th>Organisation</th><td>KvK</td></tr><tr><td>no name</td></tr>"), F.array_join(F.collect_list(row), ""))
+    pages = _t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(page.alias("html"))
+    html = F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit("<table><tbody>"), F.col("html"), F.lit("</tbody></table>"))).otherwise(F.col("html"))
+    return register.register_rows(pages.select(html.alias("html")))
+
+
+@query("WITH w AS (SELECT doc_id, text, regexp_split_to_array(lower(text), '[^\\p{L}]+') AS w FROM documents), n AS (SELECT doc_id, text, "
+    + ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in own)}))) AS {code}" for code, own in sorted(text.FUNCTION_WORDS.items()))
+    + " FROM w) SELECT doc_id, CASE WHEN length(trim(text)) < 20 OR greatest(de, en, es, fr, nl) = 0 THEN NULL " + " ".join(f"WHEN {c} = greatest(de, en, es, fr, nl) THEN '{c}'" for c in sorted(text.FUNCTION_WORDS)) + " END AS language FROM n")
+def detect_language(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.detect_language("text").alias("language"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 150000.5 AND o_orderpriority <> chr(39) || ' OR 1=1 --'")
+def parameterised_select(spark, sf_dir):
+    from tidemark.serving import explorer
+
+    _t(spark, sf_dir, "orders").createOrReplaceTempView("param_orders")
+    return explorer.select(spark, "SELECT o_orderkey, o_totalprice FROM param_orders WHERE o_orderstatus = ? AND o_totalprice > ? AND o_orderpriority <> ?", "F", 150000.5, "' OR 1=1 --")
+
+
+#: Statements over one allowed relation, and whether the guard lets them run.
+_STATEMENTS = [
+    ("select count(*) from mart", True), ("with a as (select id from mart) select max(id) from a limit 5", True), ("select replace('a', 'b', 'c')", True), ("select upper(cast(id as string)) from mart where id in (select id from mart)", True),
+    ("drop table mart", False), ("select 1; select 2", False), ("revoke all on mart", False), ("select * from secret", False), ("select reflect('java.lang.System', 'getProperty', 'user.home')", False),
+    ("select java_method('java.lang.System', 'getenv', 'HOME')", False), ("select id from mart where try_reflect('java.lang.Runtime', 'getRuntime') is null", False), ("select * from range(5)", False), ("select input_file_name() from mart", False),
+    ("select max(reflect('a', 'b')) over (order by id) from mart", False), ("select (select java_method('a', 'b')) from mart", False),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('" + q.replace("'", "''") + f"', {ok})" for q, ok in _STATEMENTS) + ") t(statement, runs)")
+def guarded_statements(spark, sf_dir):
+    from tidemark.serving import guard
+
+    _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")).createOrReplaceTempView("mart")
+
+    def runs(sql: str) -> bool:
+        try:
+            guard.ask(spark, sql, {"mart"})
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(q, runs(q)) for q, _ in _STATEMENTS], "statement string, runs boolean")
+
+
+@query(r"""SELECT page_id, 'Role ' || page_id AS title, 'Org ' || page_id % 7 AS company_name, 'Utrecht, NL' AS location_raw, 'NL' AS country_code, 'EUR ' || page_id || '-' || (page_id + 10) || ' year' AS salary_raw FROM pages""")
+def jsonld_pages(spark, sf_dir):
+    """Pages with a posting each, two lists deep in a graph."""
+    org = F.concat(F.lit('"hiringOrganization":{"name":"Org '), F.col("page_id") % 7, F.lit('"}'))
+    pay = F.concat(F.lit('"baseSalary":{"currency":"EUR","value":{"unitText":"YEAR","minValue":'), F.col("page_id"), F.lit(',"maxValue":'), F.col("page_id") + 10, F.lit("}}"))
+    job = F.concat(F.lit('{"@type":["Thing","JobPosting"],"identifier":{"value":"'), F.col("page_id"), F.lit('"},"title":"Role '), F.col("page_id"), F.lit('","jobLocation":[{"address":{"addressLocality":"Utrecht","addressCountry":"NL"}}],'), org, F.lit(","), pay, F.lit("}"))
+    block = F.concat(F.lit("<script type='application/ld+json'>broken</script><script type='application/ld+json'> [[{\"@graph\": ["), job, F.lit("]}]] </script>"))
+    pages = _t(spark, sf_dir, "pages").select(F.concat("html", block).alias("html"))
+    return postings_in(pages).select(F.col("source_job_id").cast("long").alias("page_id"), "title", "company_name", "location_raw", "country_code", "salary_raw")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -71,16 +72,24 @@ def failing_rows(check: Check | Unique | Relationship, tables: dict[str, DataFra
     return df.where(f"({check.where}) AND coalesce({check.bad}, false)")
 
 
-def run(checks: Sequence[Check | Unique | Relationship], tables: dict[str, DataFrame]) -> list[tuple[str, str, int]]:
-    """(table, check, failures). All row checks of a table take one pass over it."""
-    out = []
+def failures(checks: Sequence[Check | Unique | Relationship], tables: dict[str, DataFrame]) -> DataFrame:
+    """(tbl, chk, failures) of all checks as one plan. The row checks of a table take one pass over it."""
+    parts = []
     for name in dict.fromkeys(c.table for c in checks):
         own = [c for c in checks if c.table == name and isinstance(c, Check)]
         if own:
-            row = tables[name].agg(*(F.expr(f"count_if(({c.where}) AND coalesce({c.bad}, false))").alias(f"c{i}") for i, c in enumerate(own))).first()
-            out += [(name, c.name, row[i]) for i, c in enumerate(own)]
-        out += [(name, c.name, failing_rows(c, tables).count()) for c in checks if c.table == name and not isinstance(c, Check)]
-    return out
+            counted = tables[name].agg(*(F.expr(f"count_if(({c.where}) AND coalesce({c.bad}, false))").alias(f"c{i}") for i, c in enumerate(own)))
+            each = F.array(*(F.struct(F.lit(c.name).alias("chk"), F.col(f"c{i}").alias("failures")) for i, c in enumerate(own)))
+            parts.append(counted.select(F.inline(each)).select(F.lit(name).alias("tbl"), "chk", "failures"))
+        for c in checks:
+            if c.table == name and not isinstance(c, Check):
+                parts.append(failing_rows(c, tables).agg(F.count("*").alias("failures")).select(F.lit(name).alias("tbl"), F.lit(c.name).alias("chk"), "failures"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def run(checks: Sequence[Check | Unique | Relationship], tables: dict[str, DataFrame]) -> list[tuple[str, str, int]]:
+    """(table, check, failures), in one job."""
+    return [tuple(r) for r in failures(checks, tables).collect()] if checks else []
 
 
 def freshness(df: DataFrame, column: str = "_loaded_at", warn_hours: int = 36, error_hours: int = 72, now: Column | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import labels
@@ -80,3 +80,17 @@ def chartable(df: DataFrame, rows: int) -> bool:
     """Two columns of which one is numeric, and one to thirty rows."""
     numeric = [t for _, t in df.dtypes if t.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")]
     return len(df.columns) == 2 and len(numeric) == 1 and 1 <= rows <= 30
+
+
+def audit_counts(fact: DataFrame) -> DataFrame:
+    """(postings, at_sponsors, sponsors, unclassified): a posting whose classification is unknown counts as unclassified."""
+    known = F.coalesce("is_recognised_sponsor", F.lit(False))
+    return fact.agg(
+        F.count("*").alias("postings"), F.count_if(known).alias("at_sponsors"), F.count_distinct(F.when(known, F.col("company_name"))).alias("sponsors"),
+        F.count_if(~F.coalesce("is_enriched", F.lit(False))).alias("unclassified"),
+    )
+
+
+def select(spark: SparkSession, sql: str, *values: object) -> DataFrame:
+    """A query with ``?`` for values, which Spark binds as literals: no value is ever read as SQL."""
+    return spark.sql(sql, args=list(values))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def _fs(spark: SparkSession, path: str):
 
 
 class VersionedTable:
-    """A table whose current rows are in the folder that the newest ``v=N.done`` names. Readers never see half a write."""
+    """A table whose current rows are in the folder that the newest ``vN.done`` names. Readers never see half a write."""
 
     def __init__(self, spark: SparkSession, root: str, schema):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
@@ -32,20 +33,37 @@ class VersionedTable:
         if not fs.exists(root):
             return 0
         names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return max((int(n.split("-")[0][1:]) for n in names if n.endswith(".done")), default=0)
+        return max((int(n[1:].removesuffix(".done")) for n in names if n.endswith(".done")), default=0)
 
     def _folder(self, version: int) -> str:
-        fs, root = _fs(self.spark, self.root)
-        mark = next(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith(f"v{version}-") and s.getPath().getName().endswith(".done"))
-        return f"{self.root}/{mark.removesuffix('.done')}"
+        fs, mark = _fs(self.spark, f"{self.root}/v{version}.done")
+        into = fs.open(mark)
+        try:
+            return f"{self.root}/{self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(into, 'UTF-8')}"
+        finally:
+            into.close()
 
     def read(self) -> DataFrame:
-        v = self.version()
-        return self.spark.read.schema(self.schema).parquet(self._folder(v)) if v else self.spark.createDataFrame([], self.schema)
+        return self._at(self.version())
+
+    def _at(self, version: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self._folder(version)) if version else self.spark.createDataFrame([], self.schema)
 
     def upsert(self, new: DataFrame, keys: list[str], *order: str) -> None:
         """Idempotent: the same rows again change nothing."""
-        name = f"v{self.version() + 1}-{uuid.uuid4().hex}"
-        merged(self.read(), new.select(self.read().columns), keys, *order).write.parquet(f"{self.root}/{name}")
-        fs, mark = _fs(self.spark, f"{self.root}/{name}.done")
-        fs.create(mark).close()
+        while True:
+            now = self.version()
+            name = f"v{now + 1}-{uuid.uuid4().hex}"
+            before = self._at(now)
+            merged(before, new.select(before.columns), keys, *order).write.parquet(f"{self.root}/{name}")
+            # Only one writer can create a version's mark; whoever comes late merges again with what the other wrote.
+            fs, mark = _fs(self.spark, f"{self.root}/v{now + 1}.done")
+            try:
+                out = fs.create(mark, False)
+            except Py4JJavaError:
+                if not fs.exists(mark):
+                    raise
+                continue
+            out.write(bytearray(name.encode()))
+            out.close()
+            return

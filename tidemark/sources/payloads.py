@@ -85,7 +85,7 @@ def postings(records: DataFrame, source: str, run_id: str | None = None, country
     made = made.where("coalesce(source_job_id, '') <> '' AND coalesce(title, '') <> '' AND coalesce(source_url, '') <> ''").dropDuplicates(["source_job_id"])
     own = {"ingestion_run_id": F.lit(run_id).cast("string"), "scraped_at": F.current_timestamp(), "schema_version": F.lit(schemas.SCHEMA_VERSION), "_loaded_at": F.current_timestamp()}
     rest = {f.name: F.lit(None).cast(f.dataType) for f in schemas.POSTINGS if f.name not in made.columns and f.name not in own and f.name != "content_hash"}
-    made = made.withColumns(own | rest)
+    made = made.withColumns(own | rest).withColumn("detected_language", text.detect_language(text.strip_html("description_raw")))
     hashed = made.withColumn("content_hash", text.content_hash("source", "source_job_id", "title", "company_name", "location_raw", "salary_raw", "description_raw"))
     return hashed.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.POSTINGS))
 

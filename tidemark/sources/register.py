@@ -1,34 +1,34 @@
-"""A public register's HTML table to (organisation, kvk_number)."""
+"""A public register's HTML table to (organisation, kvk_number). Spark scans the table; only entities are resolved in batches of Python."""
 
 from __future__ import annotations
 
-import html as _html
-import re
-from collections.abc import Iterator
+import html
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-_BODY, _ROW = re.compile(r"<tbody[^>]*>(.*?)</tbody>", re.S | re.I), re.compile(r"<tr[^>]*>(.*?)</tr>", re.S | re.I)
-_NAME, _NUMBER, _TAG = re.compile(r"<th[^>]*>(.*?)</th>", re.S | re.I), re.compile(r"<td[^>]*>(.*?)</td>", re.S | re.I), re.compile(r"<[^>]+>")
+# Fixed value: the name that a heading row holds.
+HEADING = "organisation"
 
 
-def _text(cell: str) -> str:
-    return " ".join(_html.unescape(_TAG.sub(" ", cell)).split())
+@F.pandas_udf(StringType())
+def _unescaped(cells: pd.Series) -> pd.Series:
+    return cells.map(lambda c: html.unescape(c).strip())
 
 
-def parse(page: str | None) -> Iterator[tuple[str, str]]:
-    """Rows of the first table body that have a name; a heading row has no number cell and is left out."""
-    body = _BODY.search(page or "")
-    for row in _ROW.findall(body[1]) if body else ():
-        name, number = _NAME.search(row), _NUMBER.search(row)
-        if name and number and _text(name[1]):
-            yield _text(name[1]), _text(number[1])
+def _cell(row: Column, tag: str) -> Column:
+    """The text of a row's first cell of a kind, its tags taken out; empty where there is none."""
+    return _unescaped(F.regexp_replace(F.regexp_extract(row, f"(?s)<{tag}[^>]*>(.*?)</{tag}>", 1), "<[^>]+>", ""))
 
 
 def register_rows(pages: DataFrame, col: str = "html") -> DataFrame:
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([r for page in f[col] for r in parse(page)], columns=["organisation", "kvk_number"])
-
-    return pages.select(col).mapInPandas(apply, "organisation string, kvk_number string")
+    """A row for each table row with a named heading cell, in the first table body, or anywhere in a page without one.
+
+    The number may be empty. Heading rows and rows without a name are left out, null pages have no rows.
+    """
+    body = F.regexp_extract(col, "(?s)<tbody.*?</tbody>", 0)
+    rows = F.regexp_extract_all(F.when(body != "", body).otherwise(F.col(col)), F.lit("(?s)<tr.*?</tr>"), F.lit(0))
+    cells = pages.select(F.explode(rows).alias("row")).select(_cell(F.col("row"), "th").alias("organisation"), _cell(F.col("row"), "td").alias("kvk_number"))
+    return cells.where((F.col("organisation") != "") & (F.lower("organisation") != HEADING))
