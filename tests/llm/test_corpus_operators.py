@@ -7,10 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import audio_fingerprint, debruijn_dedup, lm_mixing, minhash, suffix_dedup
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, words_hashes
 
 
 def corpus():
@@ -133,22 +135,87 @@ def test_language_model(spark, docs):
     assert lm_mixing.score(docs.limit(0), Scratch(spark, "t")).count() == 0
 
 
-def test_language_model_is_a_distribution():
-    """Chances of all continuations of a byte add up to one, whatever the model's state."""
+def head_model(texts):
+    """A model of heads that has counted and fitted some texts."""
+    words = Counter(w for t in texts for w in t.encode().lower().split())
+    top = [w for w, _ in words.most_common(20)]
+    hashes = words_hashes(top)
+    order = np.argsort(hashes)
+    pairs = np.full(1 << 16, -1, np.int64)
+    two = sorted({w[:2] for w in words if len(w) > 1 and w not in top})[:30]
+    for i, w in enumerate(two):
+        pairs[w[0] << 8 | w[1]] = i
+    counts = np.concatenate([np.array([words[w] for w in top])[order], np.full(len(two) + 256, 3), [len(texts)]])
+    heads = lm_mixing.Heads(hashes[order], pairs, lm_mixing.Code.of(counts))
+    model = lm_mixing.HeadModel(heads, lm_mixing.Predictors(lm_mixing.HEAD_BITS, lm_mixing.blank_counts(lm_mixing.HEAD_BITS)), lm_mixing.Mixer.blank(len(lm_mixing.HEAD_BITS) + 1, lm_mixing.LEVELS**3))
+    model.count(pa.array(texts), model.tables.counts)
+    model.tables.settle()
+    model.score(lm_mixing.Text.of(pa.array(texts[:30]), heads), learn=True)
+    return model
+
+
+def test_head_scores_by_brute_force():
+    """Decision by decision and text by text, in plain Python."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdeé", k=rng.randint(1, 5))) for _ in range(60)]
+    texts = [" ".join(rng.choices(vocabulary, weights=range(1, 61), k=n)) for n in (0, 1, 5, 40, 70, 200, 300) * 8]
+    model = head_model(texts)
+    got = model.score(lm_mixing.Text.of(pa.array(texts), model.heads))
+    for text, want in list(zip(texts, got, strict=True))[:7] + [(texts[3], got[3])]:
+        t = lm_mixing.Text.of(pa.array([text]), model.heads)
+        contexts, code = t.contexts(model.heads.end), model.heads.code
+        total, so_far, change, seen, block, at = 0.0, Counter(), np.zeros(5), 0, 32, 0
+        while at < len(t.heads):
+            size = block if at == 0 else min(at, lm_mixing.LAST_BLOCK)
+            later, slope, fresh = Counter(), np.zeros(5), 0
+            for i in range(at, min(at + size, len(t.heads))):
+                for d in range(code.start[t.heads[i]], code.start[t.heads[i] + 1]):
+                    node, bit = int(code.node[d]), int(code.bit[d])
+                    slots = [int(s[0]) for s in lm_mixing.slots_of([c[i : i + 1] for c in contexts], np.zeros(1, np.int64), np.array([node]), lm_mixing.HEAD_BITS)]
+                    pairs = [model.tables.counts[k][2 * s : 2 * s + 2].astype(float) for k, s in enumerate(slots)] + [np.array([so_far[node, 0], so_far[node, 1]], float)]
+                    x = np.array([math.log((n1 + 0.4) / (n0 + 0.4)) for n0, n1 in pairs])
+                    gate = 0
+                    for n0, n1 in pairs[-3:]:
+                        gate = gate * lm_mixing.LEVELS + sum(n0 + n1 >= e for e in lm_mixing.LEVEL_ENDS)
+                    z = float(np.clip((model.mixer.weights[:, gate] + change) @ x, -11.9, 11.9))
+                    total -= float(lm_mixing.cost(model.mixer.refined(np.array([z], np.float32), np.array([gate])), np.array([bit]))[0])
+                    slope += (bit - 1 / (1 + math.exp(-z))) * x
+                    later[node, bit] += 1
+                    fresh += 1
+            so_far, seen = so_far + later, seen + fresh
+            change = change + lm_mixing.PULL * slope / (seen + 400)
+            at += size
+        assert total == pytest.approx(want, rel=1e-3)
+
+
+def test_heads_and_spelling_are_distributions():
+    """The chances of all heads add up to one after any tokens, and so do those of all bytes."""
     rng = np.random.default_rng(1)
-    model = lm_mixing.Model.blank(rng.integers(0, 3, (lm_mixing.SLOTS, 2)).astype(np.float16))
-
-    class Bits(lm_mixing.Bits):
-        pass
-
-    bits = Bits([bytes([b]) for b in range(256) if b not in (0x20, 0x0A)])
-    total = np.zeros(len(bits.data))
-    for j, node, bit, slots in bits:
-        x, gate, known = model.inputs(slots, j)
-        z = model.refined(model.mixed(x, gate), known, node)
-        total -= np.logaddexp(0, np.where(bit == 1, -z, z))
-    first = np.flatnonzero(np.concatenate([[True], bits.owner[1:] != bits.owner[:-1]]))
-    assert 0.9 < np.exp(total[first]).sum() <= 1.0001
+    code = lm_mixing.Code.of(rng.integers(1, 1000, 300))
+    assert sum(2.0 ** -(b - a) for a, b in zip(code.start, code.start[1:])) == pytest.approx(1)
+    mixer = lm_mixing.Mixer.blank(4)
+    mixer.weights = rng.normal(size=mixer.weights.shape).astype(np.float32)
+    mixer.refine = rng.normal(size=mixer.refine.shape).astype(np.float32)
+    tables = lm_mixing.Predictors(lm_mixing.HEAD_BITS, [rng.integers(0, 9, 2 << b).astype(np.uint32) for b in lm_mixing.HEAD_BITS]).settle()
+    owner, node, bit = code.bits(np.arange(300))
+    contexts = [np.full(300, c, np.uint64) for c in (0, 5, 6, 7)]
+    x, gate = tables.inputs(lm_mixing.slots_of(contexts, owner, node, lm_mixing.HEAD_BITS))
+    costs = np.bincount(owner, lm_mixing.cost(mixer.refined(mixer.mixed(x, gate), gate), bit), 300)
+    assert np.exp(-costs).sum() == pytest.approx(1, rel=1e-3)
+
+
+def test_blocks_double():
+    place = np.arange(20_000)
+    b = lm_mixing.blocks(place)
+    size = np.bincount(b)
+    assert size[:8].tolist() == [32, 32, 64, 128, 256, 512, 1024, 2048] and (np.diff(b) >= 0).all() and size[8:-1].max() == lm_mixing.LAST_BLOCK == size[8:-1].min()
+
+
+def test_language_model_beats_add_one_on_held_out_texts(spark):
+    """The score of new texts whose words were mostly met, in a corpus of two languages with repeated passages."""
+    r = lm_mixing.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), Scratch(spark, "t")).groupBy("held_out").agg(F.sum("score").alias("s"), F.sum("n_tokens").alias("n"), F.sum("base_score").alias("b"))
+    by = {x.held_out: x for x in r.collect()}
+    assert by[True].s / by[True].n > -4.3 and by[False].s > by[False].b
 
 
 def test_fingerprints_align(spark):
