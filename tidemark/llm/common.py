@@ -132,13 +132,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def string_hashes(strings: pa.Array) -> np.ndarray:
+def string_hashes(strings: pa.Array, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each string: a random number for each byte at its place, added up."""
     data, offsets = flat(strings)
     size = np.diff(offsets)
     place = np.arange(len(data)) - np.repeat(offsets[:-1], size)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mix(((place << 8) + data).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)), out=total[1:])
+    np.cumsum(mix(((place << 8) + data).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0x51_7CC1_B727_220A + 1)), out=total[1:])
     return mix((total[offsets[1:]] - total[offsets[:-1]]) * np.uint64(0xD6E8FEB86659FD93) + size.astype(np.uint64))
 
 
@@ -235,9 +235,9 @@ class Words:
         self.starts, self.offsets = starts, offsets
         self.codes, self.distinct = distinct(data[~white], np.concatenate([[0], np.cumsum(stops - starts)]))
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        return string_hashes(self.distinct)[self.codes]
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word; those of different seeds are independent."""
+        return string_hashes(self.distinct, seed)[self.codes]
 
     def by_text(self, values: np.ndarray) -> list[np.ndarray]:
         """One array per text of values that stand one to a word."""

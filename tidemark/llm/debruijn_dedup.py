@@ -6,8 +6,9 @@ in a document with a smaller id. All is judged on the input.
 
 1. Edges that can't be repeated are settled by anchors (see ``anchors``): the least-hashed
    ``GRAM``-word gram of a window.
-2. Places of the remaining edges are written as rows: the edge's 80-bit hash, document, place, and
-   16-bit hashes of the words before and after. Grouping gives each repeated edge's source, the smallest
+2. Places of the remaining edges are written as rows: the edge's 80-bit name, document, place, and
+   16-bit hashes of the words before and after. A name's 64 and 16 bits come of independent hashes of
+   the words, so that two words whose hashes fall together are still told apart. Grouping gives each repeated edge's source, the smallest
    document with it, and whether the same word always follows and precedes it.
 3. Edges that stand side by side in their source, the one always followed and the other always
    preceded by the same word, are one nonbranching path: a join links them, and a path is named by
@@ -68,13 +69,13 @@ def edge_places(with_runs: DataFrame, window: int) -> DataFrame:
         held = 0
         for b in batches_of(batches):
             words = Words(b.column(2))
-            for k, v, h, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), words.by_text(words.hashes()), b.column(3).to_pylist(), strict=True):
+            for k, v, h, other, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), words.by_text(words.hashes()), words.by_text(words.hashes(1)), b.column(3).to_pylist(), strict=True):
                 runs = runs_of(raw)
                 n = runs["n"].astype(np.int64)
                 places = np.unique(np.repeat(runs["first"] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()))
                 side = np.concatenate([[np.uint64(0)], h, [np.uint64(0)]])
                 x = ((side[places + window + 1] >> np.uint64(48) << np.uint64(16)) | (side[places] >> np.uint64(48))).astype(np.uint32)
-                c = shingle_hashes(h * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1), window)[places] >> np.uint64(48)
+                c = shingle_hashes(other, window)[places] >> np.uint64(48)
                 out.append([shingle_hashes(h, window)[places].view(np.int64), c.astype(np.uint16).view(np.int16), np.full(len(places), k), places + (v << 40), x.view(np.int32)])
                 held += len(places)
             if held > 200_000:
