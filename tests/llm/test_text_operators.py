@@ -95,6 +95,21 @@ def test_chat_events_fold(spark):
     assert chat_format.conversation_digests(spark.createDataFrame([], chat_format.EVENTS)).count() == 0
 
 
+def test_chat_log_needs_folding(spark):
+    """The log of some rows has all kinds of events, and folds back to them: nulls, ties, repeated rows, clashing columns, one long conversation."""
+    rows = [(1, t, "user" if t % 2 else "assistant", f"text {t} é", "x") for t in range(200)]
+    rows += [(2, None, None, None, "x"), (2, 1, "user", "b", "x"), (2, 1, "user", "a", "x"), (2, 1, "user", "a", "x"), (None, 1, "assistant", "z", "x")]
+    log = chat_format.event_log(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, seq string"))
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"} and log.count() > 1.5 * len(rows)
+    got = {}
+    for r in sorted(chat_format.format_turns(log).collect(), key=lambda r: r.position):
+        got.setdefault(r.conv_id, []).extend((t.role, t.text) for t in chat_format.read_back(r.formatted))
+    key = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
+    for conv in (1, 2, None):
+        assert got[conv] == [(r[2] or "", r[3] or "") for r in sorted((r for r in rows if r[0] == conv), key=key)]
+    assert chat_format.event_log(spark.createDataFrame(rows[:0], "conv_id long, turn int, role string, text string, seq string")).count() == 0
+
+
 def test_url_rules(spark):
     trie = url_filter.UrlTrie(url_filter.RULES)
     name = lambda h, p: (r := trie.find(h, p)) and r.name
@@ -146,6 +161,23 @@ def test_quality_accuracy_and_edges(spark):
     got = {r.doc_id: r for r in quality.judge(rows_of(spark, [(1, None), (None, "")]), quality.LineField.blank()).collect()}
     assert got[1].n_words == 0 and got[1].base_failed and not got[None].kept
     assert quality.keep(docs.limit(0), field).columns == docs.columns
+    assert quality.judge(docs.limit(0), field).count() == 0
+    # Content with boilerplate in its midst: the share lies between, and lines are told apart.
+    rows = docs.join(labels, "doc_id").where("length(text) > 800").orderBy("doc_id").collect()
+    good, bad = ([r.text.split("\n") for r in rows if r.quality == q and len(r.text.split("\n")) > 3][:40] for q in (1, 0))
+    right, between = [], 0
+    for g, b in zip(good, bad, strict=False):
+        mixed = "\n".join(g[:2] + b + g[2:])
+        label = field.decode(quality.line_features(mixed.encode())[0])
+        right.append(np.mean(label == np.array([1] * 2 + [0] * len(b) + [1] * (len(g) - 2))))
+        between += 0 < field.content_share(mixed.encode()) < 1
+    assert len(right) > 20 and np.mean(right) > 0.9 and between > 0.9 * len(right)
+    # Repeated rows, clashing columns, a line of great length, labels without a document and null labels.
+    line = " ".join(["content words stand here"] * 30_000)
+    again = quality.judge(rows_of(spark, [(1, line), (1, line), (2, "a b")]), field).collect()
+    assert len(again) == 3 and again[0] == again[1]
+    odd = spark.createDataFrame([(1, None), (10**9, 1), (0, 1), (0, 1)], "doc_id long, quality int")
+    assert not quality.train(docs, odd).emit.any()
     empty = quality.train(docs, labels.limit(0))
     assert not empty.emit.any()
 

@@ -7,11 +7,15 @@ is rejected, as is one that fails the base rule (under ``min_words`` words, or m
 ``max_repeat_percent`` % of its words in repeated 5-word windows).
 
 The field is fitted on a bounded sample of labelled rows, ``TRAIN_ROWS`` rows and ``TRAIN_LINES``
-lines of each: lines of a text labelled good are content, lines of one labelled bad are not.
-Without labels every line is content, so that the base rule alone decides.
-
-Null texts have no words, fail the base rule and are not kept. Repeated rows are judged each.
-Labels that are null or have no document are left out of the fit.
+lines of each: lines of a text labelled good are content, lines of one labelled bad are not. Good
+and bad texts are also spliced, one inside the other, so that the field learns where lines change
+from the one to the other within a text. Without labels every line is content, so that the base
+rule alone decides.
+
+Null texts have no words, fail the base rule and are not kept. Repeated rows are judged each, and
+rows without an id as well. Labels that are null or have no document are left out of the fit; of
+repeated rows of a labelled id the least text is fitted on, once for each label. An empty table gives
+no rows; a line of any length is one line.
 """
 
 from __future__ import annotations
@@ -138,18 +142,37 @@ class LineField:
         return float(n_words[self.decode(x) == 1].sum() / total) if total else 0.0
 
 
+def spliced(docs: list[tuple[np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, label of each line) of the texts, and of pairs of a good and a bad one with either inside the other."""
+    out = [(x, np.full(len(x), y)) for x, y in docs]
+    good, bad = ([x for x, y in docs if y == label] for label in (1, 0))
+    for i, (a, b) in enumerate(zip(good, bad)):
+        for outer, inner, label in ((a, b, 1), (b, a, 0)):
+            at = i % len(outer) if len(outer) else 0
+            x = np.concatenate([outer[:at], inner, outer[at:]])
+            x[:, -2:] = 0
+            x[0, -2], x[-1, -1] = 1, 1  # first and last lines
+            y = np.full(len(x), label)
+            y[at : at + len(inner)] = 1 - label
+            out.append((x, y))
+    return out
+
+
 def fit(docs: list[tuple[np.ndarray, int]], steps: int = 150, rate: float = 0.15, l2: float = 1e-4) -> LineField:
-    """Maximum likelihood by gradient steps (Adam) on (features, label of all lines), all texts at once."""
+    """Maximum likelihood by gradient steps (Adam) on (features, label) of texts and of texts spliced from two, all at once."""
     docs = [d for d in docs if len(d[0])]
     if not docs or len({y for _, y in docs}) < 2:
         return LineField.blank()
+    docs = spliced(docs)
     docs.sort(key=lambda d: -len(d[0]))
     length = np.array([len(x) for x, _ in docs])
     d, t = len(docs), int(length[0])
     x = np.zeros((t, d, N), np.float32)
     for i, (f, _) in enumerate(docs):
         x[: len(f), i] = f
-    y = np.array([v for _, v in docs])
+    y = np.zeros((t, d), np.int64)
+    for i, (_, v) in enumerate(docs):
+        y[: len(v), i] = v
     alive = [int((length > s).sum()) for s in range(t)]
     weight = 1 / np.sqrt(length)  # a long text counts more than a short one, but not by its lines
     weight /= weight.sum()
@@ -177,10 +200,10 @@ def fit(docs: list[tuple[np.ndarray, int]], steps: int = 150, rate: float = 0.15
                 beta[s, :k, 1] = np.logaddexp(ahead[:, 0] + move[1, 0], ahead[:, 1] + move[1, 1])
                 pair = np.exp(alpha[s, :k, :, None] + move + ahead[:, None, :] - log_z[:k, None, None]) * weight[:k, None, None]
                 g_move -= pair.sum(0)
-                np.add.at(g_move, (y[:k], y[:k]), weight[:k])
+                np.add.at(g_move, (y[s, :k], y[s + 1, :k]), weight[:k])
             p = np.exp(alpha[s, :n] + beta[s, :n] - log_z[:n, None])
             gap = -p
-            gap[np.arange(n), y[:n]] += 1
+            gap[np.arange(n), y[s, :n]] += 1
             g_emit += x[s, :n].T @ (gap * weight[:n, None])
         grad = np.concatenate([g_emit.ravel(), g_move.ravel()]) - l2 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
@@ -193,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, lines: int
     sample = (
         labels.where("quality IN (0, 1)").select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id", "_y").limit(rows)
     )
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).groupBy("doc_id", "_y").agg(F.min("text").alias("text")).select("doc_id", "text", "_y")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches):
