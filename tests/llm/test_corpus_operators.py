@@ -228,6 +228,12 @@ def test_fingerprints_align(spark):
     assert (got[1].class_id, got[1].query_id, got[1].bit_errors, got[1].class_size) == (1, 50, 0, 2)
     assert got[2].query_id == 50 and got[2].offset == -16 and got[2].bit_errors < 0.2 * 32 * got[2].overlap
     assert got[3].query_id is None and got[4].class_id is None and got[5].n_frames == 0
+    empty = audio_fingerprint.fingerprints(df.limit(0), "vec_id", "embedding", vectors=True)
+    assert empty.count() == 0 and audio_fingerprint.search(empty).count() == 0
+    # Rows of one id are recordings each; of equal matches the smallest query is the best.
+    again = spark.createDataFrame([(7, base[:64].tolist(), 0)] * 2 + [(50, base[:64].tolist(), 0), (100, base[:64].tolist(), 0), (8, [float("nan")] * 64, 0)], df.schema)
+    found = audio_fingerprint.search(audio_fingerprint.fingerprints(again, "vec_id", "embedding", vectors=True)).where("best_query").collect()
+    assert sorted(r.vec_id for r in found) == [7, 7, 8, 50, 100] and {r.query_id for r in found if r.vec_id == 7} == {50}
 
 
 def brute_alignments(prints, most_errors=30, least_overlap=32):

@@ -121,6 +121,10 @@ def test_url_rules(spark):
     host, path = url_filter.host_and_path(df.url)
     second = url_filter.judge_by_join(df.select("page_id", host.alias("host"), path.alias("path")), list(url_filter.RULES), "page_id", "allow")
     assert first == sorted(map(tuple, second.collect()), key=lambda r: r[0])
+    again = spark.createDataFrame([(1, urls[0], "h")] * 3 + [(None, urls[0], "h")], df.schema)
+    host, path = url_filter.host_and_path(again.url)
+    assert len(url_filter.judge(again).collect()) == 4 == url_filter.judge_by_join(again.select("page_id", host.alias("host"), path.alias("path")), list(url_filter.RULES), "page_id", "allow").count()
+    assert url_filter.judge(df.limit(0)).count() == 0
     assert first[0][1:] == ("a.example.org", "/es/1", "example.org/es/", "block") and first[2][1:] == ("", "", None, "allow")
 
 
@@ -187,3 +191,38 @@ def test_digest_columns(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").first()
     ids = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(d.text, add_special_tokens=False).ids
     assert r[d.doc_id].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
+def test_bpe_table_edges(spark):
+    """Null and empty texts, repeated rows, clashing columns, no rows, one chunk of great length, more chunks than are remembered."""
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    long = "abcé" * 5_000
+    rows = [(1, None), (2, ""), (3, "same text"), (3, "same text"), (None, "x"), (4, long)]
+    got = bpe_trie.encode(rows_of(spark, rows)).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens, r.ids, r.decoded) for r in got) == sorted(
+        (i or -1, len(ids), ids, library.decode(ids, skip_special_tokens=False)) for i, ids in ((i, library.encode(t or "", add_special_tokens=False).ids) for i, t in rows)
+    )
+    assert bpe_trie.encode(rows_of(spark, [])).count() == 0
+    encoder, most = bpe_trie.TextEncoder(public_tokenizers.path("word_bpe_49k.json")), bpe_trie.KNOWN
+    bpe_trie.KNOWN = 50
+    try:
+        for part in (texts()[:200], texts()[200:]):
+            for t, (n, _, _) in zip(part, encoder.encode(pa.array(part)), strict=True):
+                assert n == len(library.encode(t, add_special_tokens=False).ids)
+    finally:
+        bpe_trie.KNOWN = most
+
+
+def test_stretches_lose_no_window():
+    """Anchors of texts that are looked at in stretches are those of whole texts."""
+    from tidemark.llm import debruijn_dedup, suffix_dedup
+
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("abcd", k=rng.randint(1, 6))) for _ in range(900)).encode()
+
+    def windows(runs, ahead=0):
+        return {(int(f) + j, int(h), int(p)) for _, hs, first, place, n in runs for h, f, p, k in zip(hs, first, place, n, strict=True) for j in range(int(k))}
+
+    assert windows(suffix_dedup.text_anchors(100, 32, 200)([text, b"short"])) == windows(suffix_dedup.text_anchors(100, 32)([text, b"short"]))
+    assert windows(debruijn_dedup.word_anchors(13, 5, 200)([text, b"a b"])) == windows(debruijn_dedup.word_anchors(13, 5)([text, b"a b"]))
+    assert len(windows(suffix_dedup.text_anchors(100, 32, 200)([text]))) == len(text) - 99

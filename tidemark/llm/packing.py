@@ -11,7 +11,8 @@ So padding comes from last pieces alone. Memory is that of a batch of rows and o
 of which there are at most ``LEAST`` + log2(capacity).
 
 Null texts are empty: their document is the end id alone. Repeated rows are documents of their
-own. An empty table gives no pieces. A sequence's id holds the worker's partition in its high bits.
+own; under one id, or none, their pieces can't be told apart in the result but by their sequences.
+Other columns are not read. An empty table gives no pieces. A sequence's id holds the worker's partition in its high bits.
 """
 
 from __future__ import annotations

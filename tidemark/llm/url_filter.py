@@ -5,7 +5,8 @@ starts with the rule's path. The longest rule (host and path together) wins; of
 ones the longer host, then block. A URL that no rule fits gets the default verdict.
 
 Null URLs and URLs without ``://`` have an empty host and path and fit no rule. Repeated rows
-are judged each. Columns of the input other than the id and the URL are not read.
+are judged each, rows without an id too; an empty table gives no rows. Columns of the input other
+than the id and the URL are not read.
 """
 
 from __future__ import annotations
@@ -119,20 +120,19 @@ def judge(df: DataFrame, rules: Iterable[Rule] = RULES, id_col: str = "page_id",
 
 
 def judge_by_join(urls: DataFrame, rules: list[Rule], id_col: str, default: str) -> DataFrame:
-    """The same verdicts where the rules are too many to broadcast: an equi-join on every suffix of a host."""
+    """The same verdicts where the rules are too many to broadcast: each distinct host and path is judged once, by an equi-join on every suffix of the host."""
     spark = urls.sparkSession
     known = spark.createDataFrame([(r.host, r.path, r.verdict, r.name) for r in rules], "rule_host string, rule_path string, rule_verdict string, rule_name string")
-    keyed = urls.withColumn("_row", F.monotonically_increasing_id())
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
     fits = (
-        keyed.select("_row", "path", F.explode(suffixes).alias("rule_host"))
+        urls.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("rule_host"))
         .join(known, "rule_host")
         .where(F.col("path").startswith(F.col("rule_path")))
-        .groupBy("_row")
+        .groupBy("host", "path")
         .agg(F.max(F.struct(F.length("rule_name"), F.length("rule_host"), F.col("rule_verdict").eqNullSafe("block").alias("b"), "rule_name", "rule_verdict")).alias("m"))
     )
-    return keyed.join(fits, "_row", "left").select(id_col, "host", "path", F.col("m.rule_name").alias("rule"), F.coalesce("m.rule_verdict", F.lit(default)).alias("verdict"))
+    return urls.join(fits, ["host", "path"], "left").select(id_col, "host", "path", F.col("m.rule_name").alias("rule"), F.coalesce("m.rule_verdict", F.lit(default)).alias("verdict"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
