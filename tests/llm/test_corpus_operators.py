@@ -327,3 +327,17 @@ def test_pipeline_near_duplicates_by_five_words(spark):
     got = corpus_pipeline.near_duplicates(spark, docs, "/root/testdata/sf0.001")
     assert {r.doc_id for r in got.collect()} == {i for i, _ in sets if find(i) == i}
     assert find(10_001) == 10_001
+
+
+def test_pipeline_stages_start_with_a_small_heap(spark):
+    """What a step before has left in the heap is given back before a stage begins."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    old = lambda: max(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    cores = spark.sparkContext.defaultParallelism
+    for _, stage in corpus_pipeline.STAGES:
+        before = old()
+        stage(spark, docs, "/root/testdata/sf0.001")
+        assert old() - before >= cores

@@ -66,6 +66,16 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trim(spark: SparkSession) -> None:
+    """Has executors give back heap that they hold without need: it grows to its limit in a step with large sorts, and a later step's Python workers need the room.
+
+    A collection takes some 30 ms where little is in use. There are several for each core, so that none
+    is likely to be left out; where one is, it only keeps its heap.
+    """
+    n = 4 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.call_function("java_method", F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
