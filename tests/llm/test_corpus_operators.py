@@ -204,6 +204,43 @@ def test_heads_and_spelling_are_distributions():
     assert np.exp(-costs).sum() == pytest.approx(1, rel=1e-3)
 
 
+def test_weights_are_fitted_on_every_training_text(spark):
+    """Long ones and all others: every decision is among what the weights come from, at the place that it has in its task."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdeé", k=rng.randint(1, 5))) for _ in range(60)]
+    texts = [" ".join(rng.choices(vocabulary, weights=range(1, 61), k=n)) for n in (0, 1, 300, 30_000, 40, 2000)]
+    heads = head_model(texts).heads
+    docs = spark.createDataFrame([(t, i == 2) for i, t in enumerate(texts)], "text string, held_out boolean").coalesce(1)
+    got = lm_mixing.learn_sequence(docs, heads)
+    training = pa.array([t for i, t in enumerate(texts) if i != 2])
+    alone = lm_mixing.HeadModel(heads, lm_mixing.Predictors(lm_mixing.HEAD_BITS, []), lm_mixing.Mixer.blank(1))
+    fit, total, whole = lm_mixing.Fit.blank(5, lm_mixing.LEVELS**3), lm_mixing.blank_counts(lm_mixing.HEAD_BITS), lm_mixing.blank_counts(lm_mixing.HEAD_BITS)
+    for part in lm_mixing.parts_of(training, 0):
+        alone.learn(part, total, fit)
+        fit.settle()
+    alone.count(training, whole)
+    assert all((a == b).all() for a, b in zip(total, whole, strict=True))
+    assert fit.met.sum() == len(heads.code.bits(lm_mixing.Text.of(training, heads).heads)[0])
+    assert np.allclose(got.mixer.weights, fit.mixer.weights, atol=1e-3) and np.allclose(got.mixer.refine, fit.mixer.refine, atol=1e-3)
+    assert (got.tables.odds[0] == lm_mixing.Predictors(lm_mixing.HEAD_BITS, whole).settle().odds[0]).all()
+    fewer = lm_mixing.learn_sequence(docs.where("length(text) < 50000"), heads)
+    assert not np.allclose(got.mixer.weights, fewer.mixer.weights, atol=1e-3)
+
+
+def test_newton_terms_add_up():
+    """One step on sums of parts is the step on all decisions; sums that tasks send are those."""
+    rng = np.random.default_rng(4)
+    x, gate, bit = rng.normal(size=(3, 5000)).astype(np.float32), rng.integers(0, 25, 5000), rng.integers(0, 2, 5000)
+    want = lm_mixing.Mixer.blank(3)
+    want.learn(x, gate, bit, rounds=1)
+    parts = [lm_mixing.Fit.blank(3, 25) for _ in range(3)]
+    for i, fit in enumerate(parts):
+        fit.add(x[:, i::3], gate[i::3], bit[i::3].astype(np.int8))
+    raw = sum(np.frombuffer(fit.dump(), "<i8") for fit in parts)
+    got = lm_mixing.Fit.blank(3, 25).load(raw.tobytes())
+    assert np.allclose(got.settle().weights, want.weights, atol=1e-3) and got.met.sum() == 5000
+
+
 def test_blocks_double():
     place = np.arange(20_000)
     b = lm_mixing.blocks(place)

@@ -18,8 +18,10 @@ trained ones, and a last stage corrects the mixed log-odds by what came of such
 * Word counts are grouped over all training documents, and every training word counts once in every
   spelling predictor. Head predictors count every token of every training document. Tables are
   hashed and of fixed size; what is shuffled to fill them follows the corpus.
-* Weights and the last stage are some thousand numbers, fitted on at most ``PROBES`` training
-  documents and ``PROBES`` words, before these are counted, so that they are new to the tables.
+* Weights and the last stage are some thousand numbers, fitted on all training documents and words
+  while these are counted: a task first predicts each part of its rows from what it has counted so
+  far, to which they are new, and then counts them. It adds up the terms of a Newton step around
+  the weights that its own earlier parts give; the sums of all tasks are solved once.
 * Spelling costs don't depend on the text: each distinct word is spelled once. Frequent words are
   broadcast, at most ``HEAD`` of them; all others reach their documents by a join.
 
@@ -49,8 +51,10 @@ from tidemark.llm.common import Scratch, Words, batches_of, flat, lowered, mix,
 WHOLE, PAIRS = 512, 512
 #: Slots of the predictors' tables, as powers of two.
 HEAD_BITS, SPELL_BITS = (11, 20, 21, 21), (14, 17, 19, 19, 20)
-#: Documents, and words, that the weights are fitted on, and bytes of a document that may be one of them.
-PROBES, PROBE_BYTES = 300, 1 << 16
+#: Bytes of the first part of a task's rows; each later part has as many as all before it, up to the last number.
+FIRST_PART, LAST_PART = 1 << 13, 1 << 20
+#: Decisions that wait at most to be counted while their part is predicted.
+WAITING = 1 << 21
 #: Broadcast words at most.
 HEAD = 400_000
 #: Tokens of a text's first blocks; each later block is twice as long, up to the last number.
@@ -203,9 +207,79 @@ class Mixer:
         z = self.mixed(x, gate)
         step = np.rint((z + 12) * ((STEPS - 1) / 24)).astype(np.int64)
         met = np.bincount((gate * STEPS + step) * 2 + bit, minlength=gates * STEPS * 2).reshape(gates, STEPS, 2)
-        middle = np.linspace(-12, 12, STEPS)
-        p = 1 / (1 + np.exp(-middle))
-        self.refine = np.log((met[..., 1] + 30 * p) / (met[..., 0] + 30 * (1 - p))).astype(np.float32)
+        self.refine = met_odds(met)
+
+
+@dataclass
+class Fit:
+    """Terms of a Newton step for a mixer's weights and what came of its mixed odds, added up over decisions.
+
+    squares: gates x inputs x inputs; pulls: gates x inputs; met: gates x STEPS x 2. Between tasks they travel
+    as whole numbers, whose sum doesn't depend on the order.
+    """
+
+    start: Mixer
+    mixer: Mixer
+    squares: np.ndarray
+    pulls: np.ndarray
+    met: np.ndarray
+
+    @staticmethod
+    def blank(inputs: int, gates: int) -> Fit:
+        start = Mixer.blank(inputs, gates)
+        return Fit(start, start, np.zeros((gates, inputs, inputs)), np.zeros((gates, inputs)), np.zeros((gates, STEPS, 2)))
+
+    def add(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> None:
+        z = self.mixer.mixed(x, gate)
+        p = 1 / (1 + np.exp(-z))
+        curve = p * (1 - p) + np.float32(1e-4)
+        pull = bit - p + curve * z
+        order = np.argsort(gate.astype(np.uint8 if len(self.met) <= 256 else np.int64), kind="stable")
+        ordered, curve, pull = x.take(order, axis=1), curve.take(order), pull.take(order)
+        ends = np.cumsum(np.bincount(gate, minlength=len(self.met)))
+        bent = ordered * curve
+        for g, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            if a < b:
+                self.squares[g] += bent[:, a:b] @ ordered[:, a:b].T
+                self.pulls[g] += ordered[:, a:b] @ pull[a:b]
+        step = ((z + np.float32(12)) * np.float32((STEPS - 1) / 24) + np.float32(0.5)).astype(np.int64)
+        self.met += np.bincount((gate * STEPS + step) * 2 + bit, minlength=self.met.size).reshape(self.met.shape)
+
+    def settle(self) -> Mixer:
+        """The mixer that all decisions so far give; further ones are taken around its weights."""
+        n = self.pulls.shape[1]
+        weights = np.linalg.solve(self.squares + np.eye(n) * 20, (self.pulls + self.start.weights.T * 20)[:, :, None])[:, :, 0].T
+        self.mixer = Mixer(np.clip(weights, -1.5, 3).astype(np.float32), met_odds(self.met))
+        return self.mixer
+
+    def dump(self) -> bytes:
+        return np.rint(np.concatenate([self.squares.ravel(), self.pulls.ravel(), self.met.ravel()]) * 65536).astype("<i8").tobytes()
+
+    def load(self, raw: bytes) -> Fit:
+        parts = np.split(np.frombuffer(raw, "<i8") / 65536, np.cumsum([self.squares.size, self.pulls.size]))
+        self.squares, self.pulls, self.met = (a.reshape(b.shape) for a, b in zip(parts, (self.squares, self.pulls, self.met), strict=True))
+        return self
+
+
+def met_odds(met: np.ndarray) -> np.ndarray:
+    """Log-odds met at each gate and step, pulled to the mixed ones."""
+    p = 1 / (1 + np.exp(-np.linspace(-12, 12, STEPS)))
+    return np.log((met[..., 1] + 30 * p) / (met[..., 0] + 30 * (1 - p))).astype(np.float32)
+
+
+def so_counted(slots: list[np.ndarray], total: list[np.ndarray], more: tuple[tuple[np.ndarray, np.ndarray], ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """What ``Predictors.inputs`` gives, from counts as they stand. more: how often 0 and 1 came in further predictors, which the gate asks too."""
+    x, gate = np.empty((len(slots) + len(more), len(slots[0])), np.float32), np.zeros(len(slots[0]), np.int64)
+    for i, (s, t) in enumerate(zip(slots, total, strict=True)):
+        pair = t.view(np.uint64).take(s).view(np.uint32)  # both counts in one look
+        n0, n1 = pair[::2].astype(np.float32), pair[1::2].astype(np.float32)
+        x[i] = odds(n0, n1)
+        if i >= len(slots) - 2:
+            gate = gate * LEVELS + levels(n0 + n1)
+    for i, (n0, n1) in enumerate(more, len(slots)):
+        x[i] = odds(n0, n1)
+        gate = gate * LEVELS + levels(n0 + n1)
+    return x, gate
 
 
 def cost(z: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -302,6 +376,41 @@ class HeadModel:
             owner, node, bit = self.heads.code.bits(t.heads[at : at + SLICE])
             counted(slots_of(own, owner, node, HEAD_BITS), bit, total)
 
+    def learn(self, texts: pa.Array, total: list[np.ndarray], fit: Fit) -> None:
+        """Predicts the texts from what is counted, for the mixer's sake, and then counts them."""
+        t = Text.of(texts, self.heads)
+        n, nodes, contexts = len(t.words.ends), int(self.heads.code.node.max()) + 1, t.contexts(self.heads.end)
+        waiting: list[tuple] = []
+        size = 0
+        for low in range(0, n, SIDE):
+            mine = np.flatnonzero((t.owner >= low) & (t.owner < low + SIDE)) if n > SIDE else np.arange(len(t.owner))
+            part, block = t.owner[mine] - low, blocks(t.place[mine])
+            so_far = np.zeros(min(SIDE, n - low) * nodes * 2, np.float32)
+            order = np.argsort(block, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+                later = []
+                for at in range(0, len(own), SLICE):
+                    which = mine[own[at : at + SLICE]]
+                    owner, node, bit = self.heads.code.bits(t.heads[which])
+                    slots = slots_of([c[which] for c in contexts], owner, node, HEAD_BITS)
+                    here = (part[own[at : at + SLICE]][owner] * nodes + node) * 2
+                    fit.add(*so_counted(slots, total, ((so_far.take(here), so_far.take(here + 1)),)), bit)
+                    later.append(here + bit)
+                    waiting.append((slots, bit))
+                    size += len(bit)
+                for at in later:
+                    np.add.at(so_far, at, np.float32(1))
+                if size > WAITING:
+                    self._counted(waiting, total)
+                    size = 0
+        self._counted(waiting, total)
+
+    @staticmethod
+    def _counted(waiting: list[tuple], total: list[np.ndarray]) -> None:
+        for slots, bit in waiting:
+            counted(slots, bit, total)
+        waiting.clear()
+
     def score(self, t: Text, learn: bool = False) -> np.ndarray:
         """Natural logarithm of each text's heads' chance. learn: fits the mixer to these texts."""
         n, nodes, inputs = len(t.words.ends), int(self.heads.code.node.max()) + 1, len(self.mixer.weights)
@@ -392,6 +501,12 @@ class SpellModel:
         for _, bit, slots in self._slices(words):
             counted(slots, bit, total)
 
+    def learn(self, words: pa.Array, total: list[np.ndarray], fit: Fit) -> None:
+        """Predicts the words from what is counted, for the mixer's sake, and then counts them."""
+        for _, bit, slots in self._slices(words):
+            fit.add(*so_counted(slots, total), bit)
+            counted(slots, bit, total)
+
     def score(self, words: pa.Array, learn: bool = False) -> np.ndarray:
         """Natural logarithm of the chance of each word's rest."""
         out, kept = np.zeros(len(words)), []
@@ -435,8 +550,21 @@ def _token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held_out").mapInArrow(apply, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _sums(rows: DataFrame, bits: tuple[int, ...], count) -> list[np.ndarray]:
-    """The counts that ``count`` makes of the first column's values in all tasks, added up block by block. The tables' size is fixed."""
+def parts_of(column: pa.Array, done: int) -> Iterator[pa.Array]:
+    """The column's values in parts. done: bytes that came before."""
+    ends, at = flat(column)[1], 0
+    while at < len(column):
+        most = min(max(done + int(ends[at]), FIRST_PART), LAST_PART)
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield column.slice(at, end - at)
+        at = end
+
+
+def _sums(rows: DataFrame, bits: tuple[int, ...], count, fit: tuple[int, int] | None = None) -> tuple[list[np.ndarray], Mixer | None]:
+    """The counts that ``count`` makes of the first column's values in all tasks, added up block by block. The tables' size is fixed.
+
+    fit: inputs and gates of a mixer, which ``count`` then fits to the same values.
+    """
     per = 2 << BLOCK_BITS
     first = np.cumsum([0, *(max(1, (2 << b) // per) for b in bits)])
     sizes = [min(per, 2 << b) for b in bits for _ in range(max(1, (2 << b) // per))]
@@ -445,33 +573,45 @@ def _sums(rows: DataFrame, bits: tuple[int, ...], count) -> list[np.ndarray]:
     rows = rows.coalesce(max(1, min(splits, max(rows.sparkSession.sparkContext.defaultParallelism, splits // SPLITS))))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_ = blank_counts(bits), False
+        total, any_, done = blank_counts(bits), False, 0
+        mine = Fit.blank(*fit) if fit else None
         for b in batches_of(batches):
             any_ = True
-            count(b.column(0), total)
+            if mine is None:
+                count(b.column(0), total)
+                continue
+            for values in parts_of(b.column(0), done):
+                count(values, total, mine)
+                mine.settle()
+            done += int(flat(b.column(0))[1][-1])
         if any_:
             for t, low in zip(total, first, strict=False):
                 for i, own in enumerate(np.array_split(t, max(1, len(t) // per))):
                     most = int(own.max())
                     if most:  # in as few bytes as they need
                         yield pa.RecordBatch.from_arrays([pa.array([int(low) + i], pa.int32()), pa.array([own.astype(np.uint16 if most < 1 << 16 else np.uint32).tobytes()], pa.binary())], names=["block", "counts"])
+            if mine:
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([mine.dump()], pa.binary())], names=["block", "counts"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for block, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(raw, np.uint16 if len(raw) == 2 * sizes[block] else np.uint32).astype(np.uint32)
+                own = np.frombuffer(raw, "<i8") if block < 0 else np.frombuffer(raw, np.uint16 if len(raw) == 2 * sizes[block] else np.uint32).astype(np.uint32)
                 sums[block] = sums[block] + own if block in sums else own
         for block, own in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["block", "counts"])
 
-    out = blank_counts(bits)
+    out, mixer = blank_counts(bits), Mixer.blank(*fit) if fit else None
     added = rows.mapInArrow(part, "block int, counts binary").repartition("block").mapInArrow(add_up, "block int, counts binary")
     for row in added.toLocalIterator():
+        if row.block < 0:
+            mixer = Fit.blank(*fit).load(row.counts).settle()
+            continue
         k = int(np.searchsorted(first, row.block, "right")) - 1
         at, own = (row.block - int(first[k])) * per, np.frombuffer(row.counts, np.uint32)
         out[k][at : at + len(own)] = own
-    return out
+    return out, mixer
 
 
 def learn_heads(words: DataFrame) -> Heads:
@@ -495,49 +635,29 @@ def learn_heads(words: DataFrame) -> Heads:
     return Heads(hashes[order], pairs, Code.of(counts))
 
 
-def learn_spelling(words: DataFrame, heads: Heads, n_words: int) -> SpellModel:
+def learn_spelling(words: DataFrame, heads: Heads) -> SpellModel:
     """Each training word counts once, whatever its frequency: it is how new words are spelled that counts."""
     known = words.where("c > 0 AND octet_length(word) > 0").select("word")
-    one_in = max(8, -(-n_words // PROBES))
-    probe = F.pmod(F.xxhash64("word"), F.lit(one_in)) == 0
 
     def bytes_met(column: pa.Array, total: list[np.ndarray]) -> None:
         total[0][:256] += np.bincount(flat(column)[0], minlength=256).astype(np.uint32)
         total[0][0x20] += len(column)
 
-    met = _sums(known, (BLOCK_BITS,), bytes_met)[0][:256]
+    met = _sums(known, (BLOCK_BITS,), bytes_met)[0][0][:256]
     model = SpellModel(heads, Code.of(met.astype(np.int64) + 1), Predictors(SPELL_BITS, []), Mixer.blank(len(SPELL_BITS)))
     # What counts needs no tables, and tasks are sent none.
-    count = SpellModel(heads, model.code, Predictors(SPELL_BITS, []), Mixer.blank(1)).count
-    model.tables.counts = _sums(known.where(~probe), SPELL_BITS, count)
-    model.tables.settle()
-    rows = known.where(probe & (F.octet_length("word") <= PROBE_BYTES)).limit(2 * PROBES).collect()
-    probes = pa.array([bytes(r.word) for r in rows], pa.binary())
-    model.score(probes, learn=True)
-    # The probes have fitted the weights as new words; now they count like all others.
-    late = _sums(known.where(probe), SPELL_BITS, count)
-    for total, own in zip(model.tables.counts, late, strict=True):
-        total += own
+    learn = SpellModel(heads, model.code, Predictors(SPELL_BITS, []), Mixer.blank(1)).learn
+    model.tables.counts, model.mixer = _sums(known, SPELL_BITS, learn, (len(SPELL_BITS), LEVELS**2))
     model.tables.settle().counts = []
     return model
 
 
-def learn_sequence(docs: DataFrame, heads: Heads, n_docs: int) -> HeadModel:
-    training = docs.where("NOT held_out")
-    one_in = max(8, -(-n_docs // PROBES))
-    probe = F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0
-    model = HeadModel(heads, Predictors(HEAD_BITS, []), Mixer.blank(len(HEAD_BITS) + 1, LEVELS**3))
-    count = HeadModel(heads, Predictors(HEAD_BITS, []), Mixer.blank(1)).count
-    model.tables.counts = _sums(training.where(~probe).select("text"), HEAD_BITS, count)
-    model.tables.settle()
-    rows = training.where(probe & (F.octet_length("text") <= PROBE_BYTES)).select("text").limit(2 * PROBES).collect()
-    probes = pa.array([r.text for r in rows], pa.string())
-    if rows:
-        model.score(Text.of(probes, heads), learn=True)
-    late = _sums(training.where(probe).select("text"), HEAD_BITS, count)
-    for total, own in zip(model.tables.counts, late, strict=True):
-        total += own
-    model.tables.settle().counts = []
+def learn_sequence(docs: DataFrame, heads: Heads) -> HeadModel:
+    """Every training document is counted, and fits the weights."""
+    learn = HeadModel(heads, Predictors(HEAD_BITS, []), Mixer.blank(1)).learn
+    counts, mixer = _sums(docs.where("NOT held_out").select("text"), HEAD_BITS, learn, (len(HEAD_BITS) + 1, LEVELS**3))
+    model = HeadModel(heads, Predictors(HEAD_BITS, counts).settle(), mixer)
+    model.tables.counts = []
     return model
 
 
@@ -562,7 +682,7 @@ def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", head: int =
     n, v, n_ends = counts.n, counts.v, counts.docs
     sizes = words.where("c > 0").groupBy(F.floor(F.log2("c")).cast("int").alias("e")).count().orderBy(F.desc("e")).collect()
     heads = learn_heads(words)
-    spelling = spark.sparkContext.broadcast(learn_spelling(words, heads, v))
+    spelling = spark.sparkContext.broadcast(learn_spelling(words, heads))
 
     def with_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_of(batches, 1 << 20):
@@ -575,7 +695,7 @@ def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", head: int =
     hashes = top.h.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
     common = spark.sparkContext.broadcast((hashes[order], top.c.to_numpy(np.int64)[order], top.lp.to_numpy(np.float64)[order]))
-    sequence = spark.sparkContext.broadcast(learn_sequence(own, heads, n_ends))
+    sequence = spark.sparkContext.broadcast(learn_sequence(own, heads))
     log_z = math.log10(n + v + 1)
 
     def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
