@@ -33,6 +33,8 @@ other columns are not read.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import heapq
 import math
 from collections.abc import Iterator
@@ -120,15 +122,18 @@ def slots_of(contexts: list[np.ndarray], owner: np.ndarray, node: np.ndarray, bi
 
 def levels(seen: np.ndarray) -> np.ndarray:
     """Which of LEVELS a number of occurrences is in."""
-    out = np.zeros(len(seen), np.int64)
+    out = np.zeros(len(seen), np.int8)
     for end in LEVEL_ENDS:
-        out += seen >= end
-    return out
+        out += (seen >= end).view(np.int8)
+    return out.astype(np.int64)
 
 
 def counted(slots: list[np.ndarray], bit: np.ndarray, total: list[np.ndarray]) -> None:
     for s, t in zip(slots, total, strict=True):
-        np.add.at(t, s * 2 + bit, np.uint32(1))
+        if len(t) <= len(bit):
+            t += np.bincount(s * 2 + bit, minlength=len(t)).astype(np.uint32)
+        else:
+            np.add.at(t, s * 2 + bit, np.uint32(1))
 
 
 def blank_counts(bits: tuple[int, ...]) -> list[np.ndarray]:
@@ -271,8 +276,8 @@ def so_counted(slots: list[np.ndarray], total: list[np.ndarray], more: tuple[tup
     """What ``Predictors.inputs`` gives, from counts as they stand. more: how often 0 and 1 came in further predictors, which the gate asks too."""
     x, gate = np.empty((len(slots) + len(more), len(slots[0])), np.float32), np.zeros(len(slots[0]), np.int64)
     for i, (s, t) in enumerate(zip(slots, total, strict=True)):
-        pair = t.view(np.uint64).take(s).view(np.uint32)  # both counts in one look
-        n0, n1 = pair[::2].astype(np.float32), pair[1::2].astype(np.float32)
+        pair = t.view(np.uint64).take(s).view(np.uint32).astype(np.float32)  # both counts in one look
+        n0, n1 = pair[::2], pair[1::2]
         x[i] = odds(n0, n1)
         if i >= len(slots) - 2:
             gate = gate * LEVELS + levels(n0 + n1)
@@ -394,7 +399,8 @@ class HeadModel:
                     owner, node, bit = self.heads.code.bits(t.heads[which])
                     slots = slots_of([c[which] for c in contexts], owner, node, HEAD_BITS)
                     here = (part[own[at : at + SLICE]][owner] * nodes + node) * 2
-                    fit.add(*so_counted(slots, total, ((so_far.take(here), so_far.take(here + 1)),)), bit)
+                    pair = so_far.view(np.uint64).take(here >> 1).view(np.float32)
+                    fit.add(*so_counted(slots, total, ((pair[::2], pair[1::2]),)), bit)
                     later.append(here + bit)
                     waiting.append((slots, bit))
                     size += len(bit)
@@ -425,26 +431,31 @@ class HeadModel:
             change, seen = np.zeros((inputs, side), np.float32), np.zeros(side)
             order = np.argsort(block, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-                later, slope, fresh = np.zeros_like(so_far), np.zeros_like(change), np.zeros(side)
+                later, slope, fresh = [], np.zeros_like(change), np.zeros(side)
                 for at in range(0, len(own), SLICE):
                     which = mine[own[at : at + SLICE]]
                     owner, node, bit = self.heads.code.bits(t.heads[which])
                     slots = slots_of([c[which] for c in contexts], owner, node, HEAD_BITS)
                     text = part[own[at : at + SLICE]][owner]
                     here = (text * nodes + node) * 2
-                    n0, n1 = so_far.take(here), so_far.take(here + 1)
+                    pair = so_far.view(np.uint64).take(here >> 1).view(np.float32)
+                    n0, n1 = pair[::2], pair[1::2]
                     x, gate = self.tables.inputs(slots, (odds(n0, n1),))
                     gate = gate * LEVELS + levels(n0 + n1)
                     z = self.mixer.mixed(x, gate, change, text)
-                    out[low : low + side] -= np.bincount(text, cost(self.mixer.refined(z, gate), bit), side)
-                    np.add.at(later, here + bit, np.float32(1))
+                    # Texts stand in order here.
+                    start = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+                    met = text[start]
+                    out[low + met] -= np.add.reduceat(cost(self.mixer.refined(z, gate), bit), start, dtype=np.float64)
+                    later.append(here + bit)
                     err = bit - 1 / (1 + np.exp(-z))  # of the mixed odds, which the weights make
                     for i in range(inputs):
-                        slope[i] += np.bincount(text, err * x[i], side)
-                    fresh += np.bincount(text, minlength=side)
+                        slope[i, met] += np.add.reduceat(err * x[i], start)
+                    fresh[met] += np.diff(np.append(start, len(text)))
                     if learn:
                         kept.append((x, gate, bit))
-                so_far += later
+                for at in later:
+                    np.add.at(so_far, at, np.float32(1))
                 seen += fresh
                 change += (PULL * slope / (seen + 400)).astype(np.float32)
         if learn and kept:
@@ -550,6 +561,14 @@ def _token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held_out").mapInArrow(apply, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def keep_freed() -> None:
+    """Has the allocator keep what arrays of a few megabytes leave, which tasks here make by the thousand, instead of asking the system for zeroed pages again. A task's end gives it back."""
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        libc = ctypes.CDLL("libc.so.6")
+        for option, size in ((-3, 32 << 20), (-1, 128 << 20), (-2, 16 << 20)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_TOP_PAD
+            libc.mallopt(option, size)
+
+
 def parts_of(column: pa.Array, done: int) -> Iterator[pa.Array]:
     """The column's values in parts. done: bytes that came before."""
     ends, at = flat(column)[1], 0
@@ -573,6 +592,7 @@ def _sums(rows: DataFrame, bits: tuple[int, ...], count, fit: tuple[int, int] |
     rows = rows.coalesce(max(1, min(splits, max(rows.sparkSession.sparkContext.defaultParallelism, splits // SPLITS))))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         total, any_, done = blank_counts(bits), False, 0
         mine = Fit.blank(*fit) if fit else None
         for b in batches_of(batches):
@@ -685,6 +705,7 @@ def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", head: int =
     spelling = spark.sparkContext.broadcast(learn_spelling(words, heads))
 
     def with_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         for b in batches_of(batches, 1 << 20):
             yield pa.RecordBatch.from_arrays([pa.array(string_hashes(b.column(0)).view(np.int64)), b.column(1), pa.array(spelling.value.score(b.column(0)) / math.log(10))], names=["h", "c", "lp"])
 
@@ -699,6 +720,7 @@ def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", head: int =
     log_z = math.log10(n + v + 1)
 
     def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         known_h, known_c, known_lp = common.value
         model, base = sequence.value, TaskContext.get().partitionId() << 40
         for b in batches_of(batches, 2 << 20):
