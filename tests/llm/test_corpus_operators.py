@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -241,6 +242,38 @@ def test_newton_terms_add_up():
     assert np.allclose(got.settle().weights, want.weights, atol=1e-3) and got.met.sum() == 5000
 
 
+def test_language_model_looks_up_little():
+    """What a decision costs: its nodes' counts lie together, one look gives log-odds and level, and what is made at once stays small."""
+    code = lm_mixing.Code.of(np.random.default_rng(2).integers(1, 1000, 300))
+    paths = [code.node[a:b] for a, b in zip(code.start, code.start[1:], strict=False)]
+    assert len({tuple(p[:i]) for p in paths for i in range(1, len(p) + 1)}) == len(set(code.node.tolist())) == 299
+    assert all(len(set((p[i : i + 3] >> 3).tolist())) == 1 for p in paths for i in range(0, len(p), 3))
+    rng = np.random.default_rng(3)
+    tables = lm_mixing.Predictors(lm_mixing.SPELL_BITS, [rng.integers(0, 30, 2 << b).astype(np.uint32) for b in lm_mixing.SPELL_BITS]).settle().opened()
+    slots = [rng.integers(0, 1 << b, 5000) for b in lm_mixing.SPELL_BITS]
+    x, gate = tables.inputs(slots)
+    assert all((x[i] == o[s].astype(np.float32)).all() for i, (o, s) in enumerate(zip(tables.odds, slots, strict=True)))
+    assert (gate == tables.seen[0][slots[-2]].astype(int) * lm_mixing.LEVELS + tables.seen[1][slots[-1]]).all()
+    texts = [" ".join(random.Random(i).choices(["a", "bc", "def", "é"], k=2000)) for i in range(40)]
+    model = head_model(texts)
+    t = lm_mixing.Text.of(pa.array(texts), model.heads)
+    model.tables = model.tables.opened()
+    tracemalloc.start()
+    model.score(t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 << 20
+
+
+def test_hashes_are_found():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 20, 513, 40_000):
+        known = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        hashes = np.concatenate([known[::3], rng.integers(0, 1 << 64, 500, np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+        at, hit = lm_mixing.Found(known)(hashes)
+        assert (hit == np.isin(hashes, known)).all() and (known[at[hit]] == hashes[hit]).all()
+
+
 def test_blocks_double():
     place = np.arange(20_000)
     b = lm_mixing.blocks(place)

@@ -170,15 +170,16 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 SPACE = re.compile(rb"[\x20\x09-\x0D]+")
-_WHITE = np.zeros(256, bool)
-_WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWERED = np.arange(256, dtype=np.uint8)
-_LOWERED[65:91] += 32
+
+
+def white_at(data: np.ndarray) -> np.ndarray:
+    """Which bytes are one of ``SPACE``."""
+    return (data - np.uint8(0x09) < 5) | (data == 0x20)
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
     """A-Z in lower case."""
-    return _LOWERED[data]
+    return data + ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
 
 
 def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
@@ -228,7 +229,7 @@ class Words:
         data, offsets = flat(column)
         if prepare:
             data = prepare(data)
-        white = _WHITE[data]
+        white = white_at(data)
         n = len(data)
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True

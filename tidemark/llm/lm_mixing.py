@@ -38,11 +38,11 @@ import ctypes
 import heapq
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,8 +61,8 @@ WAITING = 1 << 21
 HEAD = 400_000
 #: Tokens of a text's first blocks; each later block is twice as long, up to the last number.
 FIRST_BLOCK, LAST_BLOCK = 32, 4096
-#: Texts that are scored side by side, and tokens whose bits are looked at at once.
-SIDE, SLICE = 1024, 1 << 15
+#: Texts that are scored side by side, and tokens whose bits are looked at at once: what is made of them stays in a core's cache.
+SIDE, SLICE = 1024, 1 << 13
 BLOCK_BITS, STEPS, PULL = 14, 32, 0.5
 #: Input splits whose counts one task adds up.
 SPLITS = 4
@@ -80,6 +80,29 @@ class Code:
     node: np.ndarray
     bit: np.ndarray
 
+    @property
+    def nodes(self) -> int:
+        return int(self.node.max(initial=0)) + 1
+
+    # What is looked up for each decision, by its place in ``node`` and ``bit``.
+    @cached_property
+    def salt(self) -> np.ndarray:
+        return salts(self.node)
+
+    @cached_property
+    def among(self) -> np.ndarray:
+        return self.node.astype(np.uint64) & np.uint64(7)
+
+    @cached_property
+    def chosen(self) -> np.ndarray:
+        """Where the bit is counted in a row of pairs of counts, one of each node."""
+        return self.node * 2 + self.bit
+
+    @cached_property
+    def against(self) -> np.ndarray:
+        """The sign of log-odds that speak against the bit."""
+        return (1 - 2 * self.bit).astype(np.float32)
+
     @staticmethod
     def of(counts: np.ndarray) -> Code:
         n = len(counts)
@@ -94,30 +117,78 @@ class Code:
             heapq.heappush(heap, (a[0] + b[0], made, made))
             made += 1
         root, paths = made - 1, []
+        named = Code._named(parent, n, root)
         for s in range(n):
             path, at = [], s
             while at != root:
-                path.append((int(parent[at]) - n, int(side[at])))
+                path.append((named[int(parent[at])], int(side[at])))
                 at = int(parent[at])
             paths.append(path[::-1])
         start = np.concatenate([[0], np.cumsum([len(p) for p in paths])])
         flat_ = np.array([x for p in paths for x in p], np.int64).reshape(-1, 2)
         return Code(start, flat_[:, 0], flat_[:, 1].astype(np.int8))
 
+    @staticmethod
+    def _named(parent: np.ndarray, n: int, root: int) -> dict[int, int]:
+        """Numbers of the inner nodes: a node, the two below it and the four below those are among the same eight, since they are looked up together."""
+        below: dict[int, list[int]] = {}
+        for x in range(n, root):
+            below.setdefault(int(parent[x]), []).append(x)
+        named: dict[int, int] = {}
+        blocks, free = 0, [[] for _ in range(9)]  # free: the first free number of blocks, by how many are free
+        tops = [root] if root >= n else []
+        for top in tops:
+            own, level = [], [top]
+            for _ in range(3):
+                own += level
+                level = [y for x in level for y in below.get(x, [])]
+            tops += level
+            room = next((r for r in range(len(own), 9) if free[r]), 0)
+            if not room:
+                free[room := 8].append(blocks * 8)
+                blocks += 1
+            at = free[room].pop()
+            named |= zip(own, range(at, at + len(own)))  # noqa: B905
+            free[room - len(own)].append(at + len(own))
+        return named
+
+    def places(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of its symbol, place in ``node`` and ``bit``) of each decision; where each symbol's decisions start."""
+        size = (self.start[1:] - self.start[:-1]).take(symbols)
+        ends = np.cumsum(size)
+        first = ends - size
+        owner = np.repeat(np.arange(len(symbols)), size)
+        return owner, np.arange(len(owner)) + (self.start.take(symbols) - first).take(owner), first
+
     def bits(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of its symbol, node, bit) of each decision."""
-        size = (self.start[1:] - self.start[:-1])[symbols]
-        owner = np.repeat(np.arange(len(symbols)), size)
-        first = np.cumsum(size) - size
-        at = np.arange(len(owner)) + (self.start[symbols] - first)[owner]
-        return owner, self.node[at], self.bit[at]
+        owner, at, _ = self.places(symbols)
+        return owner, self.node.take(at), self.bit.take(at)
+
+
+def salts(node: np.ndarray) -> np.ndarray:
+    """Of the eight nodes, by number, that each node is among."""
+    return ((node >> 3).astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) * _SALT
+
+
+def placed(contexts: list[np.ndarray], owner: np.ndarray, salted: np.ndarray, among: np.ndarray, bits: tuple[int, ...]) -> list[np.ndarray]:
+    """The slot of each decision in each predictor's table: eight nodes of a context have eight slots beside each other.
+
+    contexts: times _SALT; salted: salts of the decisions' nodes; among: which of its eight each node is.
+    """
+    out = []
+    for c, b in zip(contexts, bits, strict=True):
+        slot = c.take(owner)
+        slot += salted
+        slot >>= np.uint64(64 - b)
+        slot ^= among
+        out.append(slot.view(np.int64))
+    return out
 
 
 def slots_of(contexts: list[np.ndarray], owner: np.ndarray, node: np.ndarray, bits: tuple[int, ...]) -> list[np.ndarray]:
     """The slot of each decision in each predictor's table."""
-    salt = (np.arange(int(node.max(initial=0)) + 1, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) * _SALT
-    salted = salt[node]
-    return [(((c * _SALT)[owner] + salted) >> np.uint64(64 - b)).view(np.int64) for c, b in zip(contexts, bits, strict=True)]
+    return placed([c * _SALT for c in contexts], owner, salts(node), node.astype(np.uint64) & np.uint64(7), bits)
 
 
 def levels(seen: np.ndarray) -> np.ndarray:
@@ -125,23 +196,46 @@ def levels(seen: np.ndarray) -> np.ndarray:
     out = np.zeros(len(seen), np.int8)
     for end in LEVEL_ENDS:
         out += (seen >= end).view(np.int8)
-    return out.astype(np.int64)
+    return out
 
 
-def counted(slots: list[np.ndarray], bit: np.ndarray, total: list[np.ndarray]) -> None:
-    for s, t in zip(slots, total, strict=True):
-        if len(t) <= len(bit):
-            t += np.bincount(s * 2 + bit, minlength=len(t)).astype(np.uint32)
+def chosen_of(slots: list[np.ndarray], bit: np.ndarray) -> list[np.ndarray]:
+    """Where the bits are counted in each predictor's table; the slots become this."""
+    for s in slots:
+        s *= 2
+        s += bit
+    return slots
+
+
+def added(chosen: list[np.ndarray], total: list[np.ndarray]) -> None:
+    for at, t in zip(chosen, total, strict=True):
+        if len(t) <= len(at):
+            t += np.bincount(at, minlength=len(t)).astype(np.uint32)
         else:
-            np.add.at(t, s * 2 + bit, np.uint32(1))
+            np.add.at(t, at, np.uint32(1))
+
+
+def counted(slots: list[np.ndarray], bit: np.ndarray, total: list[np.ndarray]) -> None:
+    added([s * 2 + bit for s in slots], total)
 
 
 def blank_counts(bits: tuple[int, ...]) -> list[np.ndarray]:
-    return [np.zeros(2 << b, np.uint32) for b in bits]
+    out = [np.empty(2 << b, np.uint32) for b in bits]  # zeros would come without the large pages that lookups all over a table need
+    for t in out:
+        t.fill(0)
+    return out
+
 
+def odds(n0: np.ndarray, n1: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    ratio = n1 + np.float32(0.4)
+    ratio /= n0 + np.float32(0.4)
+    return np.log(ratio, out=out)
 
-def odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4)))
+
+def pairs_at(counts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often 0 and 1 came, both counts in one look."""
+    pair = counts.view(np.uint64).take(at).view(counts.dtype)
+    return pair[::2].astype(np.float32), pair[1::2].astype(np.float32)
 
 
 @dataclass
@@ -152,6 +246,7 @@ class Predictors:
     counts: list[np.ndarray]
     odds: list[np.ndarray] = field(default_factory=list)
     seen: list[np.ndarray] = field(default_factory=list)
+    both: list[np.ndarray] = field(default_factory=list)
 
     def settle(self) -> Predictors:
         pairs = [c.reshape(-1, 2).astype(np.float32) for c in self.counts]
@@ -159,14 +254,45 @@ class Predictors:
         self.seen = [np.searchsorted(LEVEL_ENDS, p.sum(1), "right").astype(np.int8) for p in pairs[-2:]]
         return self
 
-    def inputs(self, slots: list[np.ndarray], more: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
-        """(log-odds by predictor, gate). more: log-odds of further predictors."""
-        x = np.empty((len(slots) + len(more), len(slots[0])), np.float32)
-        for i, (o, s) in enumerate(zip(self.odds, slots, strict=True)):
-            x[i] = o.take(s)
-        for i, m in enumerate(more, len(slots)):
-            x[i] = m
-        return x, self.seen[0].take(slots[-2]).astype(np.int64) * LEVELS + self.seen[1].take(slots[-1])
+    def opened(self) -> Predictors:
+        """With tables as a task looks them up: log-odds in 32 bits, whose last ones, empty after 16, hold how often the context was seen."""
+        if self.both:
+            return self
+        both = [o.astype(np.float32).view(np.uint32) for o in self.odds]
+        for b, seen in zip(both[-2:], self.seen, strict=True):
+            b |= seen.view(np.uint8)
+        return replace(self, both=both)
+
+    def inputs(self, slots: list[np.ndarray], more: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(log-odds by predictor, gate). more: rows left for further predictors."""
+        x = np.empty((len(slots) + more, len(slots[0])), np.float32)
+        gate = np.zeros(len(slots[0]), np.uint32)
+        for i, (b, s) in enumerate(zip(self.opened().both, slots, strict=True)):
+            own = b.take(s)
+            if i >= len(slots) - 2:
+                gate *= np.uint32(LEVELS)
+                gate += own & np.uint32(7)
+                own &= np.uint32(0xFFFFFFF8)
+            x[i] = own.view(np.float32)
+        return x, gate.astype(np.int64)
+
+
+def stepped(z: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    """The index of each gate and of the step nearest to the mixed log-odds."""
+    near = z + np.float32(12)
+    near *= np.float32((STEPS - 1) / 24)
+    near += np.float32(0.5)
+    out = gate * STEPS
+    out += near.astype(np.int64)
+    return out
+
+
+def chance(z: np.ndarray) -> np.ndarray:
+    """Of a one, from log-odds."""
+    p = np.negative(z)
+    np.exp(p, out=p)
+    p += np.float32(1)
+    return np.divide(np.float32(1), p, out=p)
 
 
 @dataclass
@@ -189,13 +315,14 @@ class Mixer:
                 w += change[i].take(text)
             w *= x[i]
             z += w
-        return np.clip(z, -11.9, 11.9)
+        return np.clip(z, np.float32(-11.9), np.float32(11.9), out=z)
 
     def refined(self, z: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Half the mixed log-odds, half those met at the step nearest to them."""
-        step = ((z + np.float32(12)) * np.float32((STEPS - 1) / 24) + np.float32(0.5)).astype(np.int64)
-        apart = (self.refine - np.linspace(-12, 12, STEPS, dtype=np.float32)).ravel()
-        return z + np.float32(0.5) * apart.take(gate * STEPS + step)
+        apart = ((self.refine - np.linspace(-12, 12, STEPS, dtype=np.float32)) * np.float32(0.5)).ravel()
+        out = apart.take(stepped(z, gate))
+        out += z
+        return out
 
     def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray, rounds: int = 3) -> None:
         """Newton steps on all decisions at once, pulled to the weights there are; then what came of the mixed odds."""
@@ -236,19 +363,31 @@ class Fit:
 
     def add(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> None:
         z = self.mixer.mixed(x, gate)
-        p = 1 / (1 + np.exp(-z))
-        curve = p * (1 - p) + np.float32(1e-4)
-        pull = bit - p + curve * z
+        p = chance(z)
+        curve = np.float32(1) - p
+        curve *= p
+        curve += np.float32(1e-4)
+        pull = curve * z
+        pull -= p
+        pull += bit
+        # Decisions of a gate stand together, so that sums need no scatter.
         order = np.argsort(gate.astype(np.uint8 if len(self.met) <= 256 else np.int64), kind="stable")
-        ordered, curve, pull = x.take(order, axis=1), curve.take(order), pull.take(order)
-        ends = np.cumsum(np.bincount(gate, minlength=len(self.met)))
-        bent = ordered * curve
-        for g, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
-            if a < b:
-                self.squares[g] += bent[:, a:b] @ ordered[:, a:b].T
-                self.pulls[g] += ordered[:, a:b] @ pull[a:b]
-        step = ((z + np.float32(12)) * np.float32((STEPS - 1) / 24) + np.float32(0.5)).astype(np.int64)
-        self.met += np.bincount((gate * STEPS + step) * 2 + bit, minlength=self.met.size).reshape(self.met.shape)
+        size = np.bincount(gate, minlength=len(self.met))
+        gates = np.flatnonzero(size)
+        start = (np.cumsum(size) - size)[gates]
+        curve, pull, ordered = curve.take(order), pull.take(order), [row.take(order) for row in x]
+        for i, own in enumerate(ordered):
+            self.pulls[gates, i] += np.add.reduceat(pull * own, start)
+            bent = curve * own
+            for j, other in enumerate(ordered[: i + 1]):
+                sums = np.add.reduceat(bent * other, start)
+                self.squares[gates, i, j] += sums
+                if j < i:
+                    self.squares[gates, j, i] += sums
+        step = stepped(z, gate)
+        step *= 2
+        step += bit
+        self.met += np.bincount(step, minlength=self.met.size).reshape(self.met.shape)
 
     def settle(self) -> Mixer:
         """The mixer that all decisions so far give; further ones are taken around its weights."""
@@ -274,22 +413,47 @@ def met_odds(met: np.ndarray) -> np.ndarray:
 
 def so_counted(slots: list[np.ndarray], total: list[np.ndarray], more: tuple[tuple[np.ndarray, np.ndarray], ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """What ``Predictors.inputs`` gives, from counts as they stand. more: how often 0 and 1 came in further predictors, which the gate asks too."""
-    x, gate = np.empty((len(slots) + len(more), len(slots[0])), np.float32), np.zeros(len(slots[0]), np.int64)
+    x, gate = np.empty((len(slots) + len(more), len(slots[0])), np.float32), np.zeros(len(slots[0]), np.int8)
     for i, (s, t) in enumerate(zip(slots, total, strict=True)):
-        pair = t.view(np.uint64).take(s).view(np.uint32).astype(np.float32)  # both counts in one look
-        n0, n1 = pair[::2], pair[1::2]
-        x[i] = odds(n0, n1)
+        n0, n1 = pairs_at(t, s)
         if i >= len(slots) - 2:
-            gate = gate * LEVELS + levels(n0 + n1)
+            gate = gate * np.int8(LEVELS) + levels(n0 + n1)
+        odds(n0, n1, x[i])
     for i, (n0, n1) in enumerate(more, len(slots)):
-        x[i] = odds(n0, n1)
-        gate = gate * LEVELS + levels(n0 + n1)
-    return x, gate
+        gate = gate * np.int8(LEVELS) + levels(n0 + n1)
+        odds(n0, n1, x[i])
+    return x, gate.astype(np.int64)
 
 
 def cost(z: np.ndarray, bit: np.ndarray) -> np.ndarray:
     """Natural logarithm of one over the chance of each bit."""
-    return np.log(np.float32(1) + np.exp(np.where(bit == 1, -z, z)))
+    return cost_against(np.where(bit == 1, -z, z))
+
+
+def cost_against(z: np.ndarray) -> np.ndarray:
+    """The same from log-odds that speak against the bit, which become the costs."""
+    np.exp(z, out=z)
+    z += np.float32(1)
+    return np.log(z, out=z)
+
+
+class Found:
+    """Looks hashes up among some in order. A hash's first bits tell nearly where it is."""
+
+    def __init__(self, known: np.ndarray):
+        self.known, self.shift = known, np.uint64(63 - len(known).bit_length())
+        size = np.bincount((known >> self.shift).view(np.int64), minlength=1 << (64 - int(self.shift)))
+        self.first, self.steps = np.cumsum(size) - size, int(size.max()) - 1
+
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where each hash is, if it is there; whether it is)."""
+        if not len(self.known):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = self.first.take((hashes >> self.shift).view(np.int64))
+        for _ in range(self.steps):
+            at += self.known.take(at, mode="clip") < hashes
+        np.minimum(at, len(self.known) - 1, out=at)
+        return at, self.known.take(at) == hashes
 
 
 @dataclass(frozen=True)
@@ -300,6 +464,10 @@ class Heads:
     pairs: np.ndarray
     code: Code
 
+    @cached_property
+    def found(self) -> Found:
+        return Found(self.whole)
+
     @property
     def end(self) -> int:
         return len(self.whole) + int((self.pairs >= 0).sum()) + 256
@@ -315,8 +483,7 @@ class Heads:
         head = np.where(pair >= 0, len(self.whole) + pair, len(self.whole) + n_pairs + first)
         covers = np.where(pair >= 0, 2, 1)
         if len(self.whole):
-            at = np.minimum(np.searchsorted(self.whole, hashes), len(self.whole) - 1)
-            is_whole = self.whole[at] == hashes
+            at, is_whole = self.found(hashes)
             head, covers = np.where(is_whole, at, head), np.where(is_whole, -1, covers)
         return head, covers
 
@@ -351,6 +518,13 @@ class Text:
         before[first] = 0
         return Text(words, h, seq, before, owner, place)
 
+    def side_by_side(self, low: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(the tokens of SIDE texts from ``low`` on, the text of each, and block by block which of them)."""
+        mine = slice(*np.searchsorted(self.owner, [low, low + SIDE]).tolist())
+        block = blocks(self.place[mine])
+        order = np.argsort(block.astype(np.uint8) if block.max(initial=0) < 256 else block, kind="stable")
+        return np.arange(mine.start, mine.stop), self.owner[mine] - low, np.split(order, np.cumsum(np.bincount(block))[:-1])
+
     def contexts(self, end: int) -> list[np.ndarray]:
         one, two = np.full(len(self.heads), end, np.int64), np.full(len(self.heads), end, np.int64)
         one[1:], two[2:] = self.heads[:-1], self.heads[:-2]
@@ -362,9 +536,13 @@ class Text:
 
 def blocks(place: np.ndarray) -> np.ndarray:
     """The block of each place in a text: the first two have FIRST_BLOCK tokens, each later one as many as all before it, LAST_BLOCK at most."""
-    doubling = np.floor(np.log2(np.maximum(place, FIRST_BLOCK) / FIRST_BLOCK)).astype(np.int64) + (place >= FIRST_BLOCK)
+    units = np.arange(2 * LAST_BLOCK // FIRST_BLOCK)
+    doubling = np.floor(np.log2(np.maximum(units, 1))).astype(np.int64) + (units > 0)
     most = (LAST_BLOCK // FIRST_BLOCK).bit_length()
-    return np.where(place < 2 * LAST_BLOCK, doubling, most + place // LAST_BLOCK - 1)
+    out = doubling.take(place // FIRST_BLOCK, mode="clip")
+    far = np.flatnonzero(place >= 2 * LAST_BLOCK)
+    out[far] = most + place[far] // LAST_BLOCK - 1
+    return out
 
 
 @dataclass
@@ -383,26 +561,24 @@ class HeadModel:
 
     def learn(self, texts: pa.Array, total: list[np.ndarray], fit: Fit) -> None:
         """Predicts the texts from what is counted, for the mixer's sake, and then counts them."""
-        t = Text.of(texts, self.heads)
-        n, nodes, contexts = len(t.words.ends), int(self.heads.code.node.max()) + 1, t.contexts(self.heads.end)
+        t, code = Text.of(texts, self.heads), self.heads.code
+        n, nodes, contexts = len(t.words.ends), code.nodes, [c * _SALT for c in t.contexts(self.heads.end)]
         waiting: list[tuple] = []
         size = 0
         for low in range(0, n, SIDE):
-            mine = np.flatnonzero((t.owner >= low) & (t.owner < low + SIDE)) if n > SIDE else np.arange(len(t.owner))
-            part, block = t.owner[mine] - low, blocks(t.place[mine])
+            mine, part, block = t.side_by_side(low)
             so_far = np.zeros(min(SIDE, n - low) * nodes * 2, np.float32)
-            order = np.argsort(block, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+            for own in block:
                 later = []
                 for at in range(0, len(own), SLICE):
                     which = mine[own[at : at + SLICE]]
-                    owner, node, bit = self.heads.code.bits(t.heads[which])
-                    slots = slots_of([c[which] for c in contexts], owner, node, HEAD_BITS)
-                    here = (part[own[at : at + SLICE]][owner] * nodes + node) * 2
-                    pair = so_far.view(np.uint64).take(here >> 1).view(np.float32)
-                    fit.add(*so_counted(slots, total, ((pair[::2], pair[1::2]),)), bit)
-                    later.append(here + bit)
-                    waiting.append((slots, bit))
+                    owner, place, _ = code.places(t.heads.take(which))
+                    slots, bit = placed([c.take(which) for c in contexts], owner, code.salt.take(place), code.among.take(place), HEAD_BITS), code.bit.take(place)
+                    here = (part.take(own[at : at + SLICE]) * (2 * nodes)).take(owner)
+                    here += code.chosen.take(place)
+                    fit.add(*so_counted(slots, total, (pairs_at(so_far, here >> 1),)), bit)
+                    later.append(here)
+                    waiting.append(chosen_of(slots, bit))
                     size += len(bit)
                 for at in later:
                     np.add.at(so_far, at, np.float32(1))
@@ -413,47 +589,48 @@ class HeadModel:
 
     @staticmethod
     def _counted(waiting: list[tuple], total: list[np.ndarray]) -> None:
-        for slots, bit in waiting:
-            counted(slots, bit, total)
+        for at in waiting:
+            added(at, total)
         waiting.clear()
 
     def score(self, t: Text, learn: bool = False) -> np.ndarray:
         """Natural logarithm of each text's heads' chance. learn: fits the mixer to these texts."""
-        n, nodes, inputs = len(t.words.ends), int(self.heads.code.node.max()) + 1, len(self.mixer.weights)
+        n, code, inputs, tables = len(t.words.ends), self.heads.code, len(self.mixer.weights), self.tables.opened()
+        nodes, contexts = code.nodes, [c * _SALT for c in t.contexts(self.heads.end)]
         out = np.zeros(n)
         kept: list[tuple] = []
         for low in range(0, n, SIDE):
-            mine = np.flatnonzero((t.owner >= low) & (t.owner < low + SIDE)) if n > SIDE else np.arange(len(t.owner))
-            part, contexts = t.owner[mine] - low, t.contexts(self.heads.end)
-            block = blocks(t.place[mine])
+            mine, part, block = t.side_by_side(low)
             side = min(SIDE, n - low)
             so_far = np.zeros(side * nodes * 2, np.float32)
             change, seen = np.zeros((inputs, side), np.float32), np.zeros(side)
-            order = np.argsort(block, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+            for own in block:
                 later, slope, fresh = [], np.zeros_like(change), np.zeros(side)
                 for at in range(0, len(own), SLICE):
-                    which = mine[own[at : at + SLICE]]
-                    owner, node, bit = self.heads.code.bits(t.heads[which])
-                    slots = slots_of([c[which] for c in contexts], owner, node, HEAD_BITS)
-                    text = part[own[at : at + SLICE]][owner]
-                    here = (text * nodes + node) * 2
-                    pair = so_far.view(np.uint64).take(here >> 1).view(np.float32)
-                    n0, n1 = pair[::2], pair[1::2]
-                    x, gate = self.tables.inputs(slots, (odds(n0, n1),))
-                    gate = gate * LEVELS + levels(n0 + n1)
+                    which, tokens = mine[own[at : at + SLICE]], part.take(own[at : at + SLICE])
+                    owner, place, first = code.places(t.heads.take(which))
+                    slots = placed([c.take(which) for c in contexts], owner, code.salt.take(place), code.among.take(place), HEAD_BITS)
+                    text = tokens.take(owner)
+                    here = text * (2 * nodes)
+                    here += code.chosen.take(place)
+                    n0, n1 = pairs_at(so_far, here >> 1)
+                    x, gate = tables.inputs(slots, 1)
+                    odds(n0, n1, x[-1])
+                    gate *= LEVELS
+                    gate += levels(n0 + n1)
                     z = self.mixer.mixed(x, gate, change, text)
                     # Texts stand in order here.
-                    start = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-                    met = text[start]
-                    out[low + met] -= np.add.reduceat(cost(self.mixer.refined(z, gate), bit), start, dtype=np.float64)
-                    later.append(here + bit)
-                    err = bit - 1 / (1 + np.exp(-z))  # of the mixed odds, which the weights make
+                    new = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+                    met, start, against = tokens[new], first[new], code.against.take(place)
+                    out[low + met] -= np.add.reduceat(cost_against(self.mixer.refined(z, gate) * against), start, dtype=np.float64)
+                    later.append(here)
+                    err = chance(z * against)  # of the mixed odds, which the weights make
+                    err *= against
                     for i in range(inputs):
-                        slope[i, met] += np.add.reduceat(err * x[i], start)
-                    fresh[met] += np.diff(np.append(start, len(text)))
+                        slope[i, met] -= np.add.reduceat(err * x[i], start)
+                    fresh[met] += np.diff(np.append(start, len(owner)))
                     if learn:
-                        kept.append((x, gate, bit))
+                        kept.append((x, gate, code.bit.take(place)))
                 for at in later:
                     np.add.at(so_far, at, np.float32(1))
                 seen += fresh
@@ -505,8 +682,8 @@ class SpellModel:
     def _slices(self, words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
         symbols, word, contexts = self._rest(words)
         for at in range(0, len(symbols), SLICE):
-            owner, node, bit = self.code.bits(symbols[at : at + SLICE])
-            yield word[at : at + SLICE][owner], bit, slots_of([c[at : at + SLICE] for c in contexts], owner, node, SPELL_BITS)
+            owner, place, _ = self.code.places(symbols[at : at + SLICE])
+            yield word[at : at + SLICE].take(owner), self.code.bit.take(place), placed([c[at : at + SLICE] * _SALT for c in contexts], owner, self.code.salt.take(place), self.code.among.take(place), SPELL_BITS)
 
     def count(self, words: pa.Array, total: list[np.ndarray]) -> None:
         for _, bit, slots in self._slices(words):
@@ -520,9 +697,9 @@ class SpellModel:
 
     def score(self, words: pa.Array, learn: bool = False) -> np.ndarray:
         """Natural logarithm of the chance of each word's rest."""
-        out, kept = np.zeros(len(words)), []
+        out, kept, tables = np.zeros(len(words)), [], self.tables.opened()
         for word, bit, slots in self._slices(words):
-            x, gate = self.tables.inputs(slots)
+            x, gate = tables.inputs(slots)
             out -= np.bincount(word, cost(self.mixer.refined(self.mixer.mixed(x, gate), gate), bit), len(out))
             if learn:
                 kept.append((x, gate, bit))
@@ -547,12 +724,11 @@ def _token_counts(docs: DataFrame) -> DataFrame:
 
         size = 0
         for b in batches_of(batches):
-            training = pc.invert(b.column(1))
-            for part, times in ((b.column(0).filter(training), 1), (b.column(0).filter(b.column(1)), 0)):
-                words = Words(part, lowered)
-                c = np.bincount(words.codes, minlength=len(words.distinct)) * times
-                held.append(pa.table({"word": pa.concat_arrays([words.distinct.cast(pa.binary()), pa.array([END], pa.binary())]), "c": pa.array(np.append(c, len(part) * times), pa.int64())}))
-                size += len(words.distinct)
+            words, training = Words(b.column(0), lowered), ~b.column(1).to_numpy(zero_copy_only=False)
+            learned = words.codes[np.repeat(training, np.diff(words.ends, prepend=0))]
+            c = np.append(np.bincount(learned, minlength=len(words.distinct)), training.sum())
+            held.append(pa.table({"word": pa.concat_arrays([words.distinct.cast(pa.binary()), pa.array([END], pa.binary())]), "c": pa.array(c, pa.int64())}))
+            size += len(words.distinct)
             if size > 800_000:
                 yield from rows()
                 size = 0
@@ -706,8 +882,9 @@ def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", head: int =
 
     def with_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed()
+        model = replace(spelling.value, tables=spelling.value.tables.opened())
         for b in batches_of(batches, 1 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array(string_hashes(b.column(0)).view(np.int64)), b.column(1), pa.array(spelling.value.score(b.column(0)) / math.log(10))], names=["h", "c", "lp"])
+            yield pa.RecordBatch.from_arrays([pa.array(string_hashes(b.column(0)).view(np.int64)), b.column(1), pa.array(model.score(b.column(0)) / math.log(10))], names=["h", "c", "lp"])
 
     scored = scratch.settle(words.where("octet_length(word) > 0").mapInArrow(with_scores, "h long, c long, lp double"), "scored")
     scratch.drop("words")
@@ -722,15 +899,15 @@ def score(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", head: int =
     def of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_freed()
         known_h, known_c, known_lp = common.value
-        model, base = sequence.value, TaskContext.get().partitionId() << 40
+        found = Found(known_h)
+        model, base = replace(sequence.value, tables=sequence.value.tables.opened()), TaskContext.get().partitionId() << 40
         for b in batches_of(batches, 2 << 20):
             t = Text.of(b.column(2), heads)
             ends, codes, texts = t.words.ends, t.words.codes, b.num_rows
             is_common = np.zeros(len(t.hashes), bool)
             c, lp = np.zeros(len(t.hashes), np.int64), np.zeros(len(t.hashes))
             if len(known_h):
-                at = np.minimum(np.searchsorted(known_h, t.hashes), len(known_h) - 1)
-                is_common = known_h[at] == t.hashes
+                at, is_common = found(t.hashes)
                 c, lp = np.where(is_common, known_c[at], 0), np.where(is_common, known_lp[at], 0.0)
             text = np.repeat(np.arange(texts), np.diff(np.concatenate([[0], ends])))
             total = lambda each: np.bincount(text, each[codes], texts)  # noqa: B023, E731
